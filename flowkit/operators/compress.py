@@ -19,6 +19,7 @@ from flowkit.operators.sample import argmin_per_group
 from flowkit.staging import bounded, lookup, stage
 
 CENTRE_ROWS = 100_000
+SLACK = 1e-12  # relative; rounding of the interpolated percentile must not lose the row it hits
 
 
 # ---- clusters -------------------------------------------------------------------------------
@@ -93,12 +94,17 @@ def core_reps(
     return argmin_per_group(df, keys, ids, value)
 
 
+def _beyond(value: str) -> Column:
+    edge = F.col("__edge__")
+    return col(value) >= edge - F.abs(edge) * SLACK
+
+
 def edge_candidates(
     df: DataFrame, pct: float = 95.0, keys: Sequence[str] = ("cluster",), value: str = "dist"
 ) -> DataFrame:
     """Rows at or beyond the distance percentile of their cluster."""
     cut = exact_percentiles(df, keys, value, {"__edge__": pct / 100.0}).drop("__n__")
-    return lookup(df, cut, list(keys)).where(col(value) >= F.col("__edge__")).select(*df.columns)
+    return lookup(df, cut, list(keys)).where(_beyond(value)).select(*df.columns)
 
 
 def round_robin_quotas(counts: DataFrame, group: Sequence[str], cluster: str, need: Column) -> DataFrame:
@@ -239,7 +245,7 @@ def density_filter(
     marked = lookup(lookup(df, sizes, [cluster]), cut, [cluster])
     marked = marked.withColumn(
         "reason",
-        F.when(F.col("__small__"), "small").when(col(value) >= F.col("__edge__"), "edge"),
+        F.when(F.col("__small__"), "small").when(_beyond(value), "edge"),
     )
     rest = marked.where("reason is null")
     share = sizes.select(

@@ -144,6 +144,7 @@ def order_statistics(
     exactly among the few distinct values inside the bracket. With `quota` (keys, quota) the
     single statistic `kth` is the value at that rank, cut to the group size.
     """
+    grouped = bool(keys)
     df, keys = _with_key(df, keys)
     narrow = df.where(col(value).isNotNull()).select(
         *_cols(keys), col(value).cast("double").alias("__v__")
@@ -189,7 +190,7 @@ def order_statistics(
         .groupBy(*_cols(keys), "__n__")
         .agg(*[F.min(F.when(F.col("t") == name, F.col("__v__"))).alias(name) for name in ranks])
     )
-    return settled.drop("__all__")
+    return settled if grouped else settled.drop("__all__")
 
 
 def exact_percentiles(

@@ -56,16 +56,16 @@ def probs_from_pred(df: DataFrame, k: int, pred: str = "pred", name: str = "prob
 
 
 def score_batched(
-    df: DataFrame, make_predict: Callable, batch_size: int = 10_000, vector: str = "features",
-    name: str = "proba",
+    df: DataFrame, make_predict: Callable, dim: int, batch_size: int = 10_000,
+    vector: str = "features", name: str = "proba",
 ) -> DataFrame:
-    """Score feature arrays with a user model in Arrow batches of a fixed size.
+    """Score feature arrays of length `dim` with a user model in Arrow batches of a fixed size.
 
     `make_predict` is called once per worker and returns a numpy function (n, d) -> (n, k).
     """
     predict = predict_batch_udf(
         make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
-        input_tensor_shapes=None,
+        input_tensor_shapes=[[dim]],
     )
     return df.withColumn(name, predict(col(vector)))
 
