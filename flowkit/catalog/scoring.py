@@ -206,17 +206,21 @@ def ensemble_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     return plain, parts[0].unionByName(parts[1]), truth
 
 
-ENSEMBLE = f"""{probabilities_sql()}, {voted_sql('probs')},
+VOTES = f"""{probabilities_sql()}, {voted_sql('probs')},
 {probabilities_sql('probs_f', 'f')}, {probabilities_sql('probs_s', 's')},
 pert AS (SELECT 'flip' AS attack, * FROM probs_f UNION ALL SELECT 'shift', * FROM probs_s),
-{voted_sql('pert', 'attack, sample_id', 'hit')},
-judged AS (SELECT 'ensemble' AS model, hit.attack AS attack, CAST(o_custkey % {K} AS INTEGER) AS y,
+{voted_sql('pert', 'attack, sample_id', 'hit')}"""
+VOTED_PAIRS = f"""SELECT 'ensemble' AS model, hit.attack AS attack, CAST(o_custkey % {K} AS INTEGER) AS y,
     voted.pred AS plain_pred, hit.pred AS pert_pred
-  FROM orders JOIN voted ON o_orderkey = voted.sample_id JOIN hit ON o_orderkey = hit.sample_id)"""
-ENSEMBLE_ROBUST = ENSEMBLE + ROBUST[len(JUDGED):]
+  FROM orders JOIN voted ON o_orderkey = voted.sample_id JOIN hit ON o_orderkey = hit.sample_id"""
 
 
-@query("m11_ensemble_asr", f"WITH {ENSEMBLE_ROBUST} SELECT model, attack, {NUMBERS}, {TEXTS} FROM robust")
+def ensemble_sql(pairs: str) -> str:
+    """Robustness CTEs over the given pairs of predictions."""
+    return f"{VOTES}, judged AS ({pairs}){ROBUST[len(JUDGED):]}"
+
+
+@query("m11_ensemble_asr", f"WITH {ensemble_sql(VOTED_PAIRS)} SELECT model, attack, {NUMBERS}, {TEXTS} FROM robust")
 def m11(spark: SparkSession, d: str) -> DataFrame:
     return score.ensemble_asr(*ensemble_inputs(spark, d), K).select(
         "model", "attack", *_numbers(), *[f"{v}_text" for v in VALUES]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
@@ -158,8 +159,8 @@ def distribute_edges(
 
 
 def compress(
-    df: DataFrame, budget: int, ids: Sequence[str], group: Sequence[str] = ("Label",),
-    strategy: str = "diverse", pct: float = 95.0, fallback: str = "edge_topup",
+    df: DataFrame, budget: int | dict[str, int], ids: Sequence[str],
+    group: Sequence[str] = ("Label",), strategy: str = "diverse", pct: float = 95.0, fallback: str = "edge_topup",
     cluster: str = "cluster", value: str = "dist", seed: int = 42,
 ) -> DataFrame:
     """Pick about `budget` rows per group from rows with a cluster and a distance.
@@ -167,18 +168,23 @@ def compress(
     core: the closest row of each cluster. When that leaves room, edge rows are spread over the
     clusters and the closest remaining rows fill up, or random rows do (`core` with
     `fallback="random"`). `diverse` trims an over-full core by dropping its closest rows first;
-    `core` does not trim. Adds `role`: core, edge, topup or random.
+    `core` does not trim. Adds `role`: core, edge, topup or random. The budget may be a mapping
+    by the value of the (single) group column.
     """
     keys, id_cols = list(group), list(ids)
+    if isinstance(budget, dict):
+        limit = F.coalesce(*[F.when(col(keys[0]) == x, F.lit(b)) for x, b in budget.items()], F.lit(0))
+    else:
+        limit = F.lit(budget)
     rows = stage(df.select(*[col(c) for c in (*keys, cluster, *id_cols, value)]))
     core = core_reps(rows, id_cols, [*keys, cluster], value)
     n_core = bounded(core.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n_core")))[0]
-    room = n_core.select(*keys, F.greatest(F.lit(0), F.lit(budget) - F.col("n_core")).alias("need"))
+    room = n_core.select(*keys, F.greatest(F.lit(0), limit - F.col("n_core")).alias("need"))
 
     if strategy == "diverse":
         far = core.withColumn("__far__", -col(value))
         core = take_smallest(
-            far, keys, "__far__", id_cols, n_core.select(*keys, F.lit(budget).alias("quota")), seed
+            far, keys, "__far__", id_cols, n_core.select(*keys, limit.alias("quota")), seed
         ).drop("__far__")
     elif strategy != "core":
         raise ValueError(f"unknown strategy: {strategy}")
@@ -212,18 +218,18 @@ def compress_labels(
     vector: str = "features", strategy: str = "diverse", avg: float = 3.0, pct: float = 95.0,
     fallback: str = "edge_topup", algo: str = "minibatch", seed: int = 42,
 ) -> DataFrame:
-    """Cluster and compress each listed label; original rows of the selection."""
+    """Cluster each listed label, then select for all of them at once; original rows come back."""
     parts = []
     for name, budget in budgets.items():
         rows = df.where(col(label) == name)
         k = n_clusters(rows.count(), budget, strategy, avg)
-        placed = assign_clusters(rows, fit_clusters(rows, k, ids, vector, algo, seed=seed), vector)
-        picked = compress(placed, budget, ids, [label], strategy, pct, fallback, seed=seed)
-        parts.append(select_back(rows, picked, ids))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        model = fit_clusters(rows, k, ids, vector, algo, seed=seed)
+        parts.append(assign_clusters(rows, model, vector).select(
+            *[col(c) for c in (label, "cluster", *ids, "dist")]
+        ))
+    placed = reduce(DataFrame.unionByName, parts)
+    picked = compress(placed, budgets, ids, [label], strategy, pct, fallback, seed=seed)
+    return select_back(df, picked, ids)
 
 
 # ---- density filter, boundary, core-set -----------------------------------------------------

@@ -170,6 +170,9 @@ def _from_uniform(quantiles: np.ndarray, normal: bool):
         if normal:
             erf = np.frompyfunc(math.erf, 1, 1)
             v = 0.5 * (1.0 + erf(v / math.sqrt(2.0)).astype(float))
+            # the forward map stops at the edge, so the edge means the end of the range
+            v[v <= NORMAL_EDGE * (1.0 + 1e-6)] = 0.0
+            v[v >= 1.0 - NORMAL_EDGE * (1.0 + 1e-6)] = 1.0
         return pd.Series(np.interp(v, refs, quantiles))
 
     return transform
