@@ -279,6 +279,7 @@ def e14_quantile(spark: SparkSession, d: str) -> DataFrame:
 PREP_SPEC = DatasetSpec(
     name="prep", features=("tax", "quantity", "discount"), binary=("tax",),
 )
+PREP_IDS = ["tax", "quantity", "discount", "Label"]
 PREP_COLS = ["tax", "quantity", "discount", '"Label"']
 
 
@@ -300,7 +301,7 @@ SELECT tax, quantity, discount, "Label", subset,
   (SELECT round(stddev_pop(quantity), 4) FROM u) AS quantity_std FROM z""")
 def e15(spark: SparkSession, d: str) -> DataFrame:
     rows = repeated(spark, d)
-    prep = encode.prepare_training(rows, encode.fit_encoders(rows, PREP_SPEC), PREP_SPEC)
+    prep = encode.prepare_training(rows, encode.fit_encoders(rows, PREP_SPEC), PREP_SPEC, ids=PREP_IDS)
     stat = prep.stats.where("column = 'quantity'")
     return prep.rows.select(
         "*", prep.clip.select("clip_min").scalar().alias("clip_min"),

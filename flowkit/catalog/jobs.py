@@ -23,7 +23,7 @@ from flowkit.catalog.training import split_rows
 from flowkit.operators import clean, dedup, encode, report, sample, train
 from flowkit.plans import jobs
 from flowkit.spec import DatasetSpec
-from flowkit.staging import shared_folder
+from flowkit.staging import shared_folder, stage
 
 ID_LIST = ", ".join(IDS)
 CLEAN = f"""clean AS (SELECT DISTINCT port, flag, value, spare, "Label" FROM typed
@@ -48,8 +48,8 @@ SELECT coalesce("Label", 'all') AS "Label", sum(test)::BIGINT AS test, sum(n - t
 FROM s GROUP BY GROUPING SETS (("Label"), ())""")
 def clean_split_report(spark: SparkSession, d: str) -> DataFrame:
     """Select, coerce, clean, de-duplicate, split 70/30 per label, label x subset counts."""
-    rows = dedup.dedup(clean.clean_rows(flows(spark, d), SPLIT_SPEC))
-    parts = sample.split_by_label(rows, rows.columns)
+    rows = stage(dedup.dedup(clean.clean_rows(flows(spark, d), SPLIT_SPEC)))
+    parts = sample.split_by_label(clean.with_row_key(rows, rows.columns), ["_key_"])
     return report.crosstab(parts, "Label", "subset", ["test", "train"])
 
 

@@ -29,8 +29,7 @@ def bad_value(name: str, dtype: T.DataType) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Tolerant parse: text that is no number gives null, as do NaN tokens."""
-    x = c.try_cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def half_even(c: Column, decimals: int = 0) -> Column:

@@ -38,8 +38,8 @@ def coerce_types(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     def coerced(name: str) -> Column:
         number = parse_number(col(name))
         if name in integers:
-            whole = F.when(number == F.rint(number), number)
-            return whole.try_cast("int").alias(name)
+            whole = number.try_cast("int")
+            return F.when(whole == number, whole).alias(name)
         if name in spec.cont:
             return number.cast("float").alias(name)
         return col(name)
@@ -164,6 +164,23 @@ def _not_negative(df: DataFrame) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
+def _usable(df: DataFrame) -> Column:
+    """Not missing, not infinite, not negative, in one comparison or two per column.
+
+    NaN sorts above infinity, and a null fails the test like any other condition. The optimizer
+    copies the typed expressions into this filter, so it has to stay small.
+    """
+    tests = []
+    for f in df.schema:
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            tests.append((col(f.name) >= 0) & (col(f.name) < F.lit(float("inf"))))
+        elif isinstance(f.dataType, T.NumericType):
+            tests.append(col(f.name) >= 0)
+        else:
+            tests.append(col(f.name).isNotNull())
+    return reduce(lambda a, b: a & b, tests)
+
+
 def drop_negative_rows(df: DataFrame) -> DataFrame:
     """Keep rows whose numeric columns are all >= 0."""
     return df.where(_not_negative(df))
@@ -246,9 +263,9 @@ def clean_rows(
     Row-wise only; one narrow stage. With `observe`, its metrics count rows read and dropped.
     """
     typed = strip_label(coerce_types(select_features(df, spec), spec), spec.label)
-    header = F.coalesce(col(spec.label) == "Label", F.lit(False))
-    bad, negative = _missing_or_inf(typed), ~_not_negative(typed)
     if observe is not None:
+        header = F.coalesce(col(spec.label) == "Label", F.lit(False))
+        bad, negative = _missing_or_inf(typed), ~_not_negative(typed)
         typed = typed.observe(
             observe,
             F.count("*").alias("rows_read"),
@@ -256,7 +273,7 @@ def clean_rows(
             F.count_if(~header & bad).alias("bad_rows"),
             F.count_if(~header & ~bad & negative).alias("negative_rows"),
         )
-    return typed.where(~header & ~bad & ~negative)
+    return typed.where((col(spec.label) != "Label") & _usable(typed))
 
 
 def cleaning_report(df: DataFrame, spec: DatasetSpec) -> DataFrame:

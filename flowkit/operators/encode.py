@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowkit.functions import col, half_even, inverse_normal, sanitize_port
+from flowkit.functions import col, half_even, inverse_normal, row_key, sanitize_port
 from flowkit.operators.clean import reorder, select_features
 from flowkit.operators.dedup import dedup, dedup_ignoring
 from flowkit.operators.ranking import hash_take
 from flowkit.operators.report import continuous_stats, global_clip
 from flowkit.operators.sample import stratified_split
 from flowkit.spec import DatasetSpec
-from flowkit.staging import lookup
+from flowkit.staging import lookup, stage
 
 QUANTILES = 1000
 SUBSAMPLE = 100_000
@@ -386,19 +386,23 @@ class Prepared:
 
 def prepare_training(
     df: DataFrame, enc: Encoders, spec: DatasetSpec, val_size: float = 0.1, seed: int = 42,
-    use_validation: bool = True,
+    use_validation: bool = True, ids: Sequence[str] | None = None,
 ) -> Prepared:
     """Select, de-duplicate, encode without scaling, and split off a validation part.
 
-    `stats` covers all rows, `clip` the train part, as the models expect.
+    `stats` covers all rows, `clip` the train part, as the models expect. The distinct rows are
+    staged, since several results use them. Without `ids` a hash of the row identifies it.
     """
-    out = _model_input(dedup(select_features(df, spec)), enc, spec)
+    rows = stage(dedup(select_features(df, spec)))
+    out = _model_input(rows, enc, spec)
     stats = continuous_stats(out.select(*[col(c).cast("float").alias(c) for c in spec.cont]), spec.cont)
     out = label_encode(out, enc.labels, spec.label)
-    out = (
-        stratified_split(out, out.columns, spec.label, val_size, seed)
-        if use_validation else out.withColumn("subset", F.lit("train"))
-    )
+    if use_validation:
+        keyed = out if ids else out.withColumn("_key_", row_key(out.columns))
+        parts = stratified_split(keyed, ids or ["_key_"], spec.label, val_size, seed)
+        out = parts.select(*[col(c) for c in out.columns], "subset")
+    else:
+        out = out.withColumn("subset", F.lit("train"))
     clip = global_clip(out.where("subset = 'train'"), spec.ordered_features)
     return Prepared(out, clip, stats)
 

@@ -82,11 +82,9 @@ def _nearest_by_pivots(
     blocks, which the join may split.
     """
     spark = left.sparkSession
-    right = right.select(col(vector).alias("v")).withColumn(
-        "h", order_hash(0, [F.concat_ws(",", F.col("v").cast("array<string>"))])
-    )
     # copies of a vector do not change a distance
-    right = stage(right.dropDuplicates(["h"]))
+    right = right.select(col(vector).cast("array<double>").alias("v")).distinct()
+    right = stage(right.withColumn("h", order_hash(0, [F.xxhash64("v")])))
     pivots = hash_take(right, [], ["h"], 0, PIVOTS)
     centre = spark.sparkContext.broadcast(_matrix(r["v"] for r in pivots.collect()))
 

@@ -17,9 +17,12 @@ from flowkit.staging import bounded, lookup
 
 Quota = int | Column | Callable[[Column], Column] | DataFrame
 
-BUCKET_HEX_DIGITS = 3  # 4096 buckets per group
+HEX_STEP = 3  # a refinement splits a bucket into 4096
+HISTOGRAM_ROWS = 1_000_000  # largest (group, bucket) count table that is kept as a literal
+BAND_ROWS = 5_000_000  # most rows (keys only) that one task is asked to sort
 SKETCH_CELLS = 256
 SKETCH_ACCURACY = 10_000
+MAX_ROUNDS = 6
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -48,51 +51,85 @@ def _attach_quota(groups: DataFrame, keys: list[str], quota: Quota) -> DataFrame
 def hash_thresholds(
     df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, quota: Quota
 ) -> DataFrame:
-    """Per group the largest hash that is still inside the quota: (keys, `__cut__`).
+    """Per group its size and the largest hash inside the quota: (keys, `__n__`, `__cut__`).
 
     `ids` must identify a row. `quota` is a number, a function of the group size, or a table
-    (keys, quota). Groups without any selected row are absent.
+    (keys, quota). A group without any selected row has a null `__cut__`.
+
+    Two narrow passes: counts per (group, hash bucket), then a sort of the one bucket per group
+    that the quota ends in. A bucket that is still too large for one task is counted again by
+    longer hash prefixes first.
     """
     df, keys = _with_key(df, keys)
     narrow = df.select(*_cols(keys), order_hash(seed, ids).alias("__h__"))
-    narrow = narrow.withColumn("__b__", F.substring("__h__", 1, BUCKET_HEX_DIGITS))
+    histogram = _prefix_histogram(narrow, keys, HEX_STEP)
+    sizes = histogram.groupBy(*_cols(keys)).agg(F.max("__n__").alias("__n__"))
+    cut = _cut_bucket(_attach_quota(histogram, keys, quota), keys)
+    digits = HEX_STEP
+    while digits < 30 and _largest(cut, "__c__") > BAND_ROWS:
+        band = _in_bucket(narrow, cut, keys, digits)
+        digits += HEX_STEP
+        finer = _prefix_histogram(band, keys, digits)
+        needs = cut.select(*_cols(keys), F.col("__need__").alias("__q__"))
+        cut = _cut_bucket(finer.join(needs, keys), keys)
+    order = Window.partitionBy(*_cols(keys)).orderBy("__h__")
+    inside = (
+        _in_bucket(narrow, cut, keys, digits)
+        .withColumn("__rn__", F.row_number().over(order))
+        .where(F.col("__rn__") <= F.col("__need__"))
+        .groupBy(*_cols(keys)).agg(F.max("__h__").alias("__cut__"))
+    )
+    return sizes.join(bounded(inside)[0], keys, "left").select(*_cols(keys), "__n__", "__cut__")
+
+
+def _prefix_histogram(narrow: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    """Rows per hash prefix, rows before it, and group size."""
+    counts = narrow.groupBy(*_cols(keys), F.substring("__h__", 1, digits).alias("__b__")).agg(
+        F.count("*").alias("__c__")
+    )
     by_key = Window.partitionBy(*_cols(keys))
     running = by_key.orderBy("__b__").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        narrow.groupBy(*_cols(keys), "__b__").agg(F.count("*").alias("__c__"))
+    return (
+        bounded(counts, HISTOGRAM_ROWS)[0]
         .withColumn("__before__", F.coalesce(F.sum("__c__").over(running), F.lit(0)))
         .withColumn("__n__", F.sum("__c__").over(by_key))
     )
-    cut = (
-        _attach_quota(histogram, keys, quota)
-        .where((F.col("__before__") < F.col("__q__")) & (F.col("__q__") > 0))
-        .groupBy(*_cols(keys))
-        .agg(
-            F.max("__b__").alias("__b__"),
-            F.max(F.col("__q__")).alias("__q__"),
-            F.max("__before__").alias("__before__"),
-        )
-        .select(*_cols(keys), "__b__", (F.col("__q__") - F.col("__before__")).alias("__need__"))
-    )
-    band = lookup(narrow, cut, [*keys, "__b__"])
-    order = Window.partitionBy(*_cols(keys)).orderBy("__h__")
-    return (
-        band.withColumn("__rn__", F.row_number().over(order))
-        .where(F.col("__rn__") <= F.col("__need__"))
-        .groupBy(*_cols(keys)).agg(F.max("__h__").alias("__cut__"))
+
+
+def _cut_bucket(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """The bucket each quota ends in: (keys, prefix, rows in it, rows still needed from it)."""
+    touched = histogram.where(
+        (F.col("__before__") < F.col("__q__")) & (F.col("__q__") > 0)
     )
+    last = F.max_by(F.struct("__b__", "__c__", "__before__"), F.col("__b__"))
+    cut = touched.groupBy(*_cols(keys)).agg(last.alias("l"), F.max("__q__").alias("__q__"))
+    return bounded(cut.select(
+        *_cols(keys), "l.__b__", "l.__c__", (F.col("__q__") - F.col("l.__before__")).alias("__need__")
+    ))[0]
+
+
+def _in_bucket(narrow: DataFrame, cut: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    prefixed = narrow.withColumn("__b__", F.substring("__h__", 1, digits))
+    return lookup(prefixed, cut.drop("__c__"), [*keys, "__b__"]).drop("__b__")
+
+
+def _largest(table: DataFrame, column: str) -> int:
+    return table.agg(F.max(column).alias("m")).first()["m"] or 0
 
 
 def hash_flag(
     df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, quota: Quota,
-    flag: str = "selected",
+    flag: str = "selected", size: str | None = None,
 ) -> DataFrame:
-    """Mark the first `quota` rows of each group in seeded hash order."""
+    """Mark the first `quota` rows of each group in seeded hash order.
+
+    With `size`, the number of rows of the group comes along.
+    """
     keyed, names = _with_key(df, keys)
-    cuts = hash_thresholds(df, keys, ids, seed, quota)
-    joined = lookup(keyed, cuts, names, how="left")
-    inside = F.coalesce(order_hash(seed, ids) <= F.col("__cut__"), F.lit(False))
-    return joined.withColumn(flag, inside).drop("__cut__", "__all__").select(*df.columns, flag)
+    joined = lookup(keyed, hash_thresholds(df, keys, ids, seed, quota), names, how="left")
+    inside = F.coalesce(order_hash(seed, ids) <= F.col("__cut__"), F.lit(False)).alias(flag)
+    extra = [F.col("__n__").alias(size)] if size else []
+    return joined.select(*_cols(df.columns), inside, *extra)
 
 
 def hash_take(
@@ -100,8 +137,9 @@ def hash_take(
 ) -> DataFrame:
     """Keep the first `quota` rows of each group in seeded hash order."""
     keyed, names = _with_key(df, keys)
-    joined = lookup(keyed, hash_thresholds(df, keys, ids, seed, quota), names)
-    return joined.where(order_hash(seed, ids) <= F.col("__cut__")).select(*df.columns)
+    cuts = hash_thresholds(df, keys, ids, seed, quota).where(F.col("__cut__").isNotNull())
+    joined = lookup(keyed, cuts.drop("__n__"), names)
+    return joined.where(order_hash(seed, ids) <= F.col("__cut__")).select(*_cols(df.columns))
 
 
 def hash_rank(
@@ -110,27 +148,22 @@ def hash_rank(
     """Dense position (from 1) of every row within its group in seeded hash order.
 
     Rows are sorted per (group, hash bucket); the bucket offsets come from counts, so a group is
-    spread over as many tasks as it has buckets.
+    spread over as many tasks as it has buckets, and buckets get finer as the data grows.
     """
     keyed, names = _with_key(df, keys)
-    keyed = keyed.withColumn("__h__", order_hash(seed, ids)).withColumn(
-        "__b__", F.substring("__h__", 1, BUCKET_HEX_DIGITS)
-    )
-    running = (
-        Window.partitionBy(*_cols(names)).orderBy("__b__").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        keyed.groupBy(*_cols(names), "__b__").agg(F.count("*").alias("__c__"))
-        .select(
-            *_cols(names), "__b__",
-            F.coalesce(F.sum("__c__").over(running), F.lit(0)).alias("__before__"),
-        )
-    )
+    keyed = keyed.withColumn("__h__", order_hash(seed, ids))
+    digits = HEX_STEP
+    histogram = _prefix_histogram(keyed, names, digits)
+    while digits < HEX_STEP + 2 and _largest(histogram, "__c__") > BAND_ROWS:
+        digits += 1
+        histogram = _prefix_histogram(keyed, names, digits)
+    offsets = histogram.select(*_cols(names), "__b__", "__before__")
     within = Window.partitionBy(*_cols(names), "__b__").orderBy("__h__", *_cols(ids))
-    ranked = lookup(keyed, offsets, [*names, "__b__"], max_rows=1_000_000)
+    keyed = keyed.withColumn("__b__", F.substring("__h__", 1, digits))
+    ranked = lookup(keyed, offsets, [*names, "__b__"], max_rows=HISTOGRAM_ROWS)
     return ranked.withColumn(
         name, (F.row_number().over(within) + F.col("__before__")).cast("bigint")
-    ).select(*df.columns, name)
+    ).select(*_cols(df.columns), name)
 
 
 def order_statistics(
@@ -140,47 +173,39 @@ def order_statistics(
 ) -> DataFrame:
     """Exact k-th smallest values per group: (keys, `__n__`, one column per entry of `ranks`).
 
-    A mergeable quantile sketch brackets each wanted rank; one counting pass then settles it
-    exactly among the few distinct values inside the bracket. With `quota` (keys, quota) the
-    single statistic `kth` is the value at that rank, cut to the group size.
+    While a bracket holds more rows than one task should sort, a mergeable quantile sketch of it
+    narrows it down, all groups at once. Then one counting pass settles the rank among the
+    distinct values inside, so equal values cost nothing. With `quota` (keys, quota) the single
+    statistic `kth` is the value at that rank, cut to the group size.
     """
     grouped = bool(keys)
     df, keys = _with_key(df, keys)
     narrow = df.where(col(value).isNotNull()).select(
         *_cols(keys), col(value).cast("double").alias("__v__")
     )
-    grid = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
-    sketch = narrow.groupBy(*_cols(keys)).agg(
-        F.count("*").alias("__n__"),
-        F.percentile_approx("__v__", grid, SKETCH_ACCURACY).alias("__g__"),
-    )
+    groups = bounded(narrow.groupBy(*_cols(keys)).agg(F.count("*").alias("__n__")))[0]
     if quota is not None:
-        sketch = _attach_quota(sketch, keys, quota)
+        groups = _attach_quota(groups, keys, quota)
         ranks = {"kth": lambda n: F.least(n, F.col("__q__"))}
     n = F.col("__n__")
     wanted = F.array(*[
         F.struct(F.lit(name).alias("t"), (F.lit(r) if isinstance(r, int) else r(n)).cast("bigint").alias("r"))
         for name, r in ranks.items()
     ])
-    # one cell of slack on each side is far wider than the error of the sketch
-    cell = F.col("r") * SKETCH_CELLS / n
-    low = F.floor(cell).cast("int") - 1
-    high = F.ceil(cell).cast("int") + 1
-    targets = (
-        sketch.select(*_cols(keys), "__n__", "__g__", F.explode(wanted).alias("w"))
-        .select(*_cols(keys), "__n__", "__g__", "w.t", "w.r")
-        .where(F.col("r").between(1, n))
-        .select(
-            *_cols(keys), "__n__", "t", "r",
-            F.when(low >= 1, F.get(F.col("__g__"), low)).alias("__lo__"),
-            F.when(high < SKETCH_CELLS, F.get(F.col("__g__"), high)).alias("__hi__"),
-        )
-    )
-    inside = F.col("__lo__").isNull() | (F.col("__v__") >= F.col("__lo__"))
+    nothing = F.lit(None).cast("double")
+    targets = bounded(
+        groups.select(*_cols(keys), "__n__", F.explode(wanted).alias("w"))
+        .select(*_cols(keys), "__n__", "w.t", "w.r").where(F.col("r").between(1, n))
+        .select("*", nothing.alias("__lo__"), nothing.alias("__hi__"), n.alias("__m__"))
+    )[0]
+    for _ in range(MAX_ROUNDS):
+        if _largest(targets, "__m__") <= BAND_ROWS:
+            break
+        targets = _narrow_brackets(narrow, targets, keys)
+    by = [*_cols(keys), F.col("__n__"), F.col("t"), F.col("r")]
     counted = (
-        lookup(narrow, targets, keys)
-        .where(F.col("__hi__").isNull() | (F.col("__v__") <= F.col("__hi__")))
-        .groupBy(*_cols(keys), "__n__", "t", "r", F.when(inside, F.col("__v__")).alias("__v__"))
+        lookup(narrow, targets, keys).where(_not_above())
+        .groupBy(*by, F.when(_not_below(), F.col("__v__")).alias("__v__"))
         .agg(F.count("*").alias("__c__"))
     )
     upto = Window.partitionBy(*_cols(keys), "t").orderBy(F.col("__v__").asc_nulls_first())
@@ -193,6 +218,40 @@ def order_statistics(
     return settled if grouped else settled.drop("__all__")
 
 
+def _not_below() -> Column:
+    return F.col("__lo__").isNull() | (F.col("__v__") >= F.col("__lo__"))
+
+
+def _not_above() -> Column:
+    return F.col("__hi__").isNull() | (F.col("__v__") <= F.col("__hi__"))
+
+
+def _narrow_brackets(narrow: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """New bounds for each wanted rank from a sketch of the rows between the old ones."""
+    grid = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
+    by = [*_cols(keys), F.col("__n__"), F.col("t"), F.col("r"), F.col("__lo__"), F.col("__hi__")]
+    inside = F.when(_not_below(), F.col("__v__"))
+    sketch = (
+        lookup(narrow, targets, keys).where(_not_above()).groupBy(*by)
+        .agg(
+            F.count("*").alias("upto"), F.count(inside).alias("m"),
+            F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias("g"),
+        )
+    )
+    # one cell of slack on each side is far wider than the error of the sketch
+    cell = (F.col("r") - (F.col("upto") - F.col("m"))) * SKETCH_CELLS / F.col("m")
+    low, high = F.floor(cell).cast("int") - 1, F.ceil(cell).cast("int") + 1
+    lo = F.when(low >= 1, F.get("g", low)).otherwise(F.col("__lo__"))
+    hi = F.when(high < SKETCH_CELLS, F.get("g", high)).otherwise(F.col("__hi__"))
+    # a bracket around one value is settled, however many rows have it
+    width = F.when(lo == hi, F.lit(0)).otherwise(
+        F.ceil(F.col("m") * (high - low) / SKETCH_CELLS)
+    )
+    return bounded(sketch.select(
+        *by[:-2], lo.alias("__lo__"), hi.alias("__hi__"), width.cast("bigint").alias("__m__")
+    ))[0]
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]
 ) -> DataFrame:
@@ -237,7 +296,7 @@ def smallest_thresholds(
     )
     ties = near.where(F.col("__v__") == F.col("kth"))
     cuts = hash_thresholds(ties, keys, ids, seed, ties_quota)
-    return lookup(kth.select(*_cols(keys), "kth"), cuts, list(keys), how="left"), list(keys)
+    return lookup(kth.select(*_cols(keys), "kth"), cuts.drop("__n__"), list(keys), how="left"), list(keys)
 
 
 def take_smallest(
@@ -254,4 +313,4 @@ def take_smallest(
     inside = (v < F.col("kth")) | (
         (v == F.col("kth")) & (order_hash(seed, ids) <= F.col("__cut__"))
     )
-    return lookup(keyed, cuts, names).where(inside).select(*df.columns)
+    return lookup(keyed, cuts, names).where(inside).select(*_cols(df.columns))

@@ -64,21 +64,20 @@ def crosstab(
 ) -> DataFrame:
     """Row x column counts, zero-filled, with a `total` column and an `all` row.
 
-    The rows are counted once per cell; the pivot and the totals work on the counts.
+    The rows are counted once per cell; the totals and the pivot work on the counts.
     """
     cells = df.groupBy(col(row).cast("string").alias(row), col(column).cast("string").alias("__c__")).agg(
         (F.count("*") if weight is None else F.sum(weight)).cast("bigint").alias("__n__")
     )
-    pivot = cells.groupBy(row)
+    if totals:
+        cells = cells.withColumn(row, F.explode(F.array(col(row), F.lit("all"))))
+    pivot = cells.groupBy(col(row))
     pivot = pivot.pivot("__c__", list(values)) if values is not None else pivot.pivot("__c__")
     wide = pivot.agg(F.sum("__n__")).na.fill(0)
-    names = [c for c in wide.columns if c != row]
     if not totals:
         return wide
-    total = sum((col(c) for c in names), F.lit(0).cast("bigint"))
-    wide = wide.withColumn("total", total)
-    everything = wide.agg(*[F.sum(col(c)).cast("bigint").alias(c) for c in (*names, "total")])
-    return wide.unionByName(everything.withColumn(row, F.lit("all")))
+    names = [c for c in wide.columns if c != row]
+    return wide.withColumn("total", sum((col(c) for c in names), F.lit(0).cast("bigint")))
 
 
 def explode_sources(df: DataFrame, source: str = "__attack__") -> DataFrame:

@@ -24,15 +24,10 @@ def split_by_label(
     Labels with fewer than two rows are left out.
     """
     flagged = hash_flag(
-        df, [label], ids, seed,
-        lambda n: F.when(n < 2, 0).otherwise(F.ceil(n * F.lit(test_size))), flag="__test__",
+        df, [label], ids, seed, lambda n: F.ceil(n * F.lit(test_size)), flag="__test__", size="__n__"
     )
-    counts = df.groupBy(col(label)).agg(F.count("*").alias("__n__")).where(F.col("__n__") >= 2)
-    valid, fits = bounded(counts.select(col(label)))
-    flagged = flagged.join(F.broadcast(valid) if fits else valid, label, "left_semi")
-    return flagged.withColumn(
-        "subset", F.when(F.col("__test__"), "test").otherwise("train")
-    ).drop("__test__")
+    side = F.when(F.col("__test__"), "test").otherwise("train")
+    return flagged.where(F.col("__n__") >= 2).withColumn("subset", side).drop("__test__", "__n__")
 
 
 def largest_remainder(counts: DataFrame, label: str, total: Column) -> DataFrame:

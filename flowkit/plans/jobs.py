@@ -51,7 +51,8 @@ def clean_headerless(
     labelled = clean.map_label(raw, attack, spec.label_map, spec.default_label, spec.label)
     rows = dedup.dedup(clean.drop_missing_inf(clean.select_features(labelled, spec)))
     rows = stage(clean.filter_labels(rows, spec.label, spec.class_names))
-    parts = sample.split_by_label(rows, ids or rows.columns, spec.label)
+    keyed = rows if ids else clean.with_row_key(rows, rows.columns)
+    parts = sample.split_by_label(keyed, ids or ["_key_"], spec.label).drop("_key_")
     return (
         parts, report.cardinality(rows, spec.cat),
         encode.fit_encoders(parts.where("subset = 'train'").drop("subset"), spec),
