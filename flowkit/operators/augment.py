@@ -47,17 +47,17 @@ def fit_critic(
     """Score model: rows of the label against rows of the opposite label."""
     def side(df: DataFrame, y: float) -> DataFrame:
         return df.select(
-            array_to_vector(col(vector).cast("array<double>")).alias("x"), F.lit(y).alias("y")
+            array_to_vector(col(vector).cast("array<double>")).alias("__x__"), F.lit(y).alias("__y__")
         )
 
     both = side(rows, 1.0).unionByName(side(opposite, 0.0))
-    return LogisticRegression(featuresCol="x", labelCol="y").fit(both)
+    return LogisticRegression(featuresCol="__x__", labelCol="__y__").fit(both)
 
 
 def critic_score(
     df: DataFrame, critic: LogisticRegressionModel, vector: str = "features", name: str = "score"
 ) -> DataFrame:
-    rows = df.withColumn("x", array_to_vector(col(vector).cast("array<double>")))
+    rows = df.withColumn("__x__", array_to_vector(col(vector).cast("array<double>")))
     scored = critic.transform(rows)
     return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 

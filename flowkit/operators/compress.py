@@ -44,10 +44,10 @@ def fit_clusters(
 ) -> KMeansModel:
     """k-means model; `minibatch` fits on a seeded sample of `batch` rows, `full` on all rows."""
     rows = hash_take(df, [], ids, seed, batch) if algo == "minibatch" else df
-    rows = rows.select(array_to_vector(col(vector).cast("array<double>")).alias("v")).persist()
+    rows = rows.select(array_to_vector(col(vector).cast("array<double>")).alias("__v__")).persist()
     try:
         return KMeans(
-            k=k, seed=seed, initMode="k-means||", featuresCol="v", predictionCol="cluster"
+            k=k, seed=seed, initMode="k-means||", featuresCol="__v__", predictionCol="cluster"
         ).fit(rows)
     finally:
         rows.unpersist()
@@ -61,8 +61,8 @@ def assign_clusters(df: DataFrame, model: KMeansModel, vector: str = "features")
         "cluster int, centre array<double>",
     )
     placed = model.transform(
-        df.withColumn("v", array_to_vector(col(vector).cast("array<double>")))
-    ).drop("v")
+        df.withColumn("__v__", array_to_vector(col(vector).cast("array<double>")))
+    ).drop("__v__")
     return distance_to_center(placed, centres, vector=vector)
 
 
@@ -171,6 +171,8 @@ def compress(
     `core` does not trim. Adds `role`: core, edge, topup or random. The budget may be a mapping
     by the value of the (single) group column.
     """
+    if strategy not in ("core", "diverse"):
+        raise ValueError(f"unknown strategy: {strategy}")
     keys, id_cols = list(group), list(ids)
     if isinstance(budget, dict):
         limit = F.coalesce(*[F.when(col(keys[0]) == x, F.lit(b)) for x, b in budget.items()], F.lit(0))
@@ -181,13 +183,11 @@ def compress(
     n_core = bounded(core.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n_core")))[0]
     room = n_core.select(*keys, F.greatest(F.lit(0), limit - F.col("n_core")).alias("need"))
 
-    if strategy == "diverse":
+    if strategy == "diverse" and not n_core.where(F.col("n_core") > limit).isEmpty():
         far = core.withColumn("__far__", -col(value))
         core = take_smallest(
             far, keys, "__far__", id_cols, n_core.select(*keys, limit.alias("quota")), seed
         ).drop("__far__")
-    elif strategy != "core":
-        raise ValueError(f"unknown strategy: {strategy}")
     core = stage(core.select(*rows.columns).withColumn("role", F.lit("core")))
     rest = rows.join(core.select(*id_cols), id_cols, "left_anti")
 

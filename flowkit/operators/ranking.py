@@ -20,6 +20,7 @@ Quota = int | Column | Callable[[Column], Column] | DataFrame
 HEX_STEP = 3  # a refinement splits a bucket into 4096
 HISTOGRAM_ROWS = 1_000_000  # largest (group, bucket) count table that is kept as a literal
 BAND_ROWS = 5_000_000  # most rows (keys only) that one task is asked to sort
+SKETCH_FROM = 400_000  # rows from which a sketch is cheaper than counting all distinct values
 SKETCH_CELLS = 256
 SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 6
@@ -102,9 +103,9 @@ def _cut_bucket(histogram: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("__before__") < F.col("__q__")) & (F.col("__q__") > 0)
     )
     last = F.max_by(F.struct("__b__", "__c__", "__before__"), F.col("__b__"))
-    cut = touched.groupBy(*_cols(keys)).agg(last.alias("l"), F.max("__q__").alias("__q__"))
+    cut = touched.groupBy(*_cols(keys)).agg(last.alias("__l__"), F.max("__q__").alias("__q__"))
     return bounded(cut.select(
-        *_cols(keys), "l.__b__", "l.__c__", (F.col("__q__") - F.col("l.__before__")).alias("__need__")
+        *_cols(keys), "__l__.__b__", "__l__.__c__", (F.col("__q__") - F.col("__l__.__before__")).alias("__need__")
     ))[0]
 
 
@@ -171,7 +172,10 @@ def order_statistics(
     ranks: dict[str, Callable[[Column], Column] | int] | None = None,
     quota: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact k-th smallest values per group: (keys, `__n__`, one column per entry of `ranks`).
+    """Exact k-th smallest values per group: (keys, `__n__`, one struct per entry of `ranks`).
+
+    A struct has the value `v`, the number of rows `before` it and the `same` rows, and the value
+    at the `next` rank.
 
     While a bracket holds more rows than one task should sort, a mergeable quantile sketch of it
     narrows it down, all groups at once. Then one counting pass settles the rank among the
@@ -189,33 +193,51 @@ def order_statistics(
         ranks = {"kth": lambda n: F.least(n, F.col("__q__"))}
     n = F.col("__n__")
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("t"), (F.lit(r) if isinstance(r, int) else r(n)).cast("bigint").alias("r"))
+        F.struct(F.lit(name).alias("__t__"), (F.lit(r) if isinstance(r, int) else r(n)).cast("bigint").alias("__r__"))
         for name, r in ranks.items()
     ])
     nothing = F.lit(None).cast("double")
     targets = bounded(
-        groups.select(*_cols(keys), "__n__", F.explode(wanted).alias("w"))
-        .select(*_cols(keys), "__n__", "w.t", "w.r").where(F.col("r").between(1, n))
+        groups.select(*_cols(keys), "__n__", F.explode(wanted).alias("__w__"))
+        .select(*_cols(keys), "__n__", "__w__.__t__", "__w__.__r__").where(F.col("__r__").between(1, n))
         .select("*", nothing.alias("__lo__"), nothing.alias("__hi__"), n.alias("__m__"))
     )[0]
-    for _ in range(MAX_ROUNDS):
-        if _largest(targets, "__m__") <= BAND_ROWS:
+    for turn in range(MAX_ROUNDS):
+        load = targets.agg(F.max("__m__").alias("top"), F.sum("__m__").alias("all")).first()
+        if (load["top"] or 0) <= BAND_ROWS and (turn or (load["all"] or 0) <= SKETCH_FROM):
             break
         targets = _narrow_brackets(narrow, targets, keys)
-    by = [*_cols(keys), F.col("__n__"), F.col("t"), F.col("r")]
+    by = [*_cols(keys), F.col("__n__"), F.col("__t__"), F.col("__r__")]
     counted = (
         lookup(narrow, targets, keys).where(_not_above())
         .groupBy(*by, F.when(_not_below(), F.col("__v__")).alias("__v__"))
         .agg(F.count("*").alias("__c__"))
     )
-    upto = Window.partitionBy(*_cols(keys), "t").orderBy(F.col("__v__").asc_nulls_first())
+    upto = Window.partitionBy(*_cols(keys), "__t__").orderBy(F.col("__v__").asc_nulls_first())
+    found = F.struct(
+        F.col("__v__").alias("v"), (F.col("__upto__") - F.col("__c__")).alias("before"),
+        F.col("__c__").alias("same"),
+    )
+
+    def at(name: str, rank: Column) -> Column:
+        return F.when((F.col("__t__") == name) & (F.col("__upto__") >= rank), F.col("__v__"))
+
     settled = (
-        counted.withColumn("__upto__", F.sum("__c__").over(upto))
-        .where(F.col("__v__").isNotNull() & (F.col("__upto__") >= F.col("r")))
+        counted.withColumn("__upto__", F.sum("__c__").over(upto)).where(F.col("__v__").isNotNull())
         .groupBy(*_cols(keys), "__n__")
-        .agg(*[F.min(F.when(F.col("t") == name, F.col("__v__"))).alias(name) for name in ranks])
+        .agg(*[
+            F.struct(
+                F.min_by(found, at(name, F.col("__r__"))).alias("f"),
+                F.min(at(name, F.least(F.col("__r__") + 1, F.col("__n__")))).alias("next"),
+            ).alias(name)
+            for name in ranks
+        ])
     )
-    return settled if grouped else settled.drop("__all__")
+    out = settled.select(
+        *_cols(keys), "__n__",
+        *[F.struct(f"{x}.f.v", f"{x}.f.before", f"{x}.f.same", f"{x}.next").alias(x) for x in ranks],
+    )
+    return out if grouped else out.drop("__all__")
 
 
 def _not_below() -> Column:
@@ -229,23 +251,24 @@ def _not_above() -> Column:
 def _narrow_brackets(narrow: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """New bounds for each wanted rank from a sketch of the rows between the old ones."""
     grid = [i / SKETCH_CELLS for i in range(SKETCH_CELLS + 1)]
-    by = [*_cols(keys), F.col("__n__"), F.col("t"), F.col("r"), F.col("__lo__"), F.col("__hi__")]
+    by = [*_cols(keys), F.col("__n__"), F.col("__t__"), F.col("__r__"), F.col("__lo__"), F.col("__hi__")]
     inside = F.when(_not_below(), F.col("__v__"))
     sketch = (
         lookup(narrow, targets, keys).where(_not_above()).groupBy(*by)
         .agg(
-            F.count("*").alias("upto"), F.count(inside).alias("m"),
-            F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias("g"),
+            F.count("*").alias("__upto__"), F.count(inside).alias("__m__"),
+            F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias("__g__"),
         )
     )
     # one cell of slack on each side is far wider than the error of the sketch
-    cell = (F.col("r") - (F.col("upto") - F.col("m"))) * SKETCH_CELLS / F.col("m")
-    low, high = F.floor(cell).cast("int") - 1, F.ceil(cell).cast("int") + 1
-    lo = F.when(low >= 1, F.get("g", low)).otherwise(F.col("__lo__"))
-    hi = F.when(high < SKETCH_CELLS, F.get("g", high)).otherwise(F.col("__hi__"))
+    below = F.col("__upto__") - F.col("__m__")
+    low = F.floor((F.col("__r__") - below) * SKETCH_CELLS / F.col("__m__")).cast("int") - 1
+    high = F.ceil((F.col("__r__") + 1 - below) * SKETCH_CELLS / F.col("__m__")).cast("int") + 1
+    lo = F.when(low >= 1, F.get("__g__", low)).otherwise(F.col("__lo__"))
+    hi = F.when(high < SKETCH_CELLS, F.get("__g__", high)).otherwise(F.col("__hi__"))
     # a bracket around one value is settled, however many rows have it
     width = F.when(lo == hi, F.lit(0)).otherwise(
-        F.ceil(F.col("m") * (high - low) / SKETCH_CELLS)
+        F.ceil(F.col("__m__") * (high - low) / SKETCH_CELLS)
     )
     return bounded(sketch.select(
         *by[:-2], lo.alias("__lo__"), hi.alias("__hi__"), width.cast("bigint").alias("__m__")
@@ -256,16 +279,13 @@ def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]
 ) -> DataFrame:
     """Interpolated percentiles per group, one column per entry of `shares`, and `__n__`."""
-    ranks: dict[str, Callable[[Column], Column]] = {}
-    for name, p in shares.items():
-        ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1
-        ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p)) + 1
+    ranks = {name: (lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1) for name, p in shares.items()}
     stats = order_statistics(df, keys, value, ranks)
 
     def blend(name: str, p: float) -> Column:
         position = (F.col("__n__") - 1) * F.lit(p)
         part = position - F.floor(position)
-        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
+        lo, hi = F.col(name)["v"], F.col(name)["next"]
         return (lo + (hi - lo) * part).alias(name)
 
     return stats.select(*_cols(keys), "__n__", *[blend(k, p) for k, p in shares.items()])
@@ -276,27 +296,26 @@ def smallest_thresholds(
 ) -> tuple[DataFrame, list[str]]:
     """Thresholds for the `quota` smallest values per group: (keys, `kth`, `__cut__`).
 
-    Rows below `kth` are in; rows equal to it are in up to hash `__cut__`, so any number of equal
-    values is split exactly.
+    Rows below `kth` are in. Of the rows equal to it those up to hash `__cut__` are in, so any
+    number of equal values is split exactly; without a cut all of them are.
     """
     df, keys = _with_key(df, keys)
     if not set(keys) <= set(quota.columns):
         quota = quota.withColumn("__all__", F.lit(0))
     quota = quota.where(F.col("quota") > 0)
     narrow = df.select(*_cols(keys), col(value).cast("double").alias("__v__"), *_cols(ids))
-    kth = order_statistics(narrow, keys, "__v__", quota=quota).select(*_cols(keys), "__n__", "kth")
-    kth = bounded(kth)[0]
-    near = lookup(narrow, kth, list(keys)).where(F.col("__v__") <= F.col("kth"))
-    below = near.groupBy(*_cols(keys), "__n__").agg(
-        F.sum(F.when(F.col("__v__") < F.col("kth"), 1).otherwise(0)).alias("__below__")
-    )
-    ties_quota = lookup(below, quota, list(keys)).select(
-        *_cols(keys),
-        (F.least(F.col("quota"), F.col("__n__")) - F.col("__below__")).alias("quota"),
-    )
-    ties = near.where(F.col("__v__") == F.col("kth"))
-    cuts = hash_thresholds(ties, keys, ids, seed, ties_quota)
-    return lookup(kth.select(*_cols(keys), "kth"), cuts.drop("__n__"), list(keys), how="left"), list(keys)
+    stats = order_statistics(narrow, keys, "__v__", quota=quota)
+    needed = F.least(F.col("quota"), F.col("__n__")) - F.col("kth.before")
+    kth = bounded(lookup(stats, quota, list(keys)).select(
+        *_cols(keys), F.col("kth.v").alias("kth"), needed.alias("quota"),
+        (needed < F.col("kth.same")).alias("__split__"),
+    ))[0]
+    split = kth.where("__split__")
+    if split.isEmpty():
+        return kth.select(*_cols(keys), "kth", F.lit(None).cast("string").alias("__cut__")), list(keys)
+    ties = lookup(narrow, split.select(*_cols(keys), "kth"), list(keys)).where("__v__ = kth")
+    cuts = hash_thresholds(ties, keys, ids, seed, split.select(*_cols(keys), "quota"))
+    return kth.select(*_cols(keys), "kth").join(cuts.drop("__n__"), list(keys), "left"), list(keys)
 
 
 def take_smallest(
@@ -311,6 +330,6 @@ def take_smallest(
     keyed, _ = _with_key(df, keys)
     v = col(value).cast("double")
     inside = (v < F.col("kth")) | (
-        (v == F.col("kth")) & (order_hash(seed, ids) <= F.col("__cut__"))
+        (v == F.col("kth")) & (F.col("__cut__").isNull() | (order_hash(seed, ids) <= F.col("__cut__")))
     )
     return lookup(keyed, cuts, names).where(inside).select(*_cols(df.columns))

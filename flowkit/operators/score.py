@@ -109,7 +109,8 @@ def _per_class(cells: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFra
         F.struct(col(p).alias("cls"), zero.alias("support"), n.alias("predicted"), zero.alias("tp")),
     ))
     return (
-        cells.select(*[col(k) for k in keys], views.alias("x")).select(*[col(k) for k in keys], "x.*")
+        cells.select(*[col(k) for k in keys], views.alias("__x__"))
+        .select(*[col(k) for k in keys], "__x__.*")
         .groupBy(*[col(k) for k in keys], "cls")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     )
