@@ -100,7 +100,7 @@ def augment_until(
         turn += 1
         batch = generate(turn, request_rows(need - have, rate))
         if score is not None:
-            batch = accept_top(score(batch), ids, rate)
+            batch = accept_top(stage(score(batch)), ids, rate)
         fresh = stage(admit(batch, [*known, *accepted], features, order))
         count = fresh.count()
         if count:

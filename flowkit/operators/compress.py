@@ -242,6 +242,8 @@ def density_filter(
     """All rows of small clusters; of large ones the edge and a random share of the rest.
 
     A cluster is small up to `ceil(small_frac * n)` rows. Adds `reason`: small, edge or sample.
+    Passes over `df` several times, reading the ids, cluster and distance: stage it first when
+    it is not a table.
     """
     sizes = bounded(df.groupBy(col(cluster)).agg(F.count("*").alias("__size__")))[0]
     total = sizes.agg(F.sum("__size__").alias("n"))
@@ -266,10 +268,13 @@ def with_boundary_score(
     left: DataFrame, right: DataFrame, ids: Sequence[str], vector: str = "features",
     broadcast_values: int | None = None,
 ) -> DataFrame:
-    """Add `boundary_dist` and `boundary_score` towards the opposite class."""
+    """Add `boundary_dist` and `boundary_score` towards the opposite class.
+
+    The result is staged: what follows passes over it several times.
+    """
     extra = {} if broadcast_values is None else {"broadcast_values": broadcast_values}
     near = nearest_distance(left, right, ids, vector, "boundary_dist", **extra)
-    return near.withColumn("boundary_score", boundary_score(F.col("boundary_dist")))
+    return stage(near.withColumn("boundary_score", boundary_score(F.col("boundary_dist"))))
 
 
 def pin_boundary(
@@ -316,9 +321,9 @@ def coreset_quality(
 
     The smallest tenth of the clusters counts as small.
     """
-    radius = nearest_distance(
+    radius = stage(nearest_distance(
         full.select(*[col(i) for i in ids], col(vector)), core, ids, vector, "radius"
-    )
+    ).select("radius"))
     shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
     reach = exact_percentiles(radius, [], "radius", {f"radius_{k}": p for k, p in shares.items()})
     scores = exact_percentiles(core, [], score, {f"score_{k}": p for k, p in shares.items()})

@@ -22,7 +22,7 @@ from flowkit.operators.ranking import hash_take
 from flowkit.operators.report import continuous_stats, global_clip
 from flowkit.operators.sample import stratified_split
 from flowkit.spec import DatasetSpec
-from flowkit.staging import lookup, stage
+from flowkit.staging import bounded, lookup, stage
 
 QUANTILES = 1000
 SUBSAMPLE = 100_000
@@ -97,14 +97,22 @@ def fit_encoders(
     train: DataFrame, spec: DatasetSpec, ids: Sequence[str] | None = None,
     n_quantiles: int = QUANTILES,
 ) -> Encoders:
-    """Fit everything on train rows only, so nothing leaks from the test part."""
+    """Fit everything on train rows only, so nothing leaks from the test part.
+
+    Each table is evaluated here, once, however often the encoders are applied.
+    """
+    def once(table: DataFrame) -> DataFrame:
+        return bounded(table)[0]
+
     text = [c for c in spec.cat if c != spec.port]
-    with_quantiles = spec.has_quantile and ids is not None
+    quantiles = None
+    if spec.has_quantile and ids is not None:
+        quantiles = once(fit_quantiles(train, spec.numeric, ids, n_quantiles))
     return Encoders(
-        numeric=fit_numeric(train, spec.numeric),
-        labels=fit_labels(train, spec.label),
-        categories=fit_categories(train, text) if text else None,
-        quantiles=fit_quantiles(train, spec.numeric, ids, n_quantiles) if with_quantiles else None,
+        numeric=once(fit_numeric(train, spec.numeric)),
+        labels=once(fit_labels(train, spec.label)),
+        categories=once(fit_categories(train, text)) if text else None,
+        quantiles=quantiles,
     )
 
 

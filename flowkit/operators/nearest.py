@@ -56,10 +56,9 @@ def nearest_distance(
     probe = right.select(F.size(col(vector)).alias("d")).first()
     if probe is None:
         return left.withColumn(name, F.lit(None).cast("double"))
-    limit = max(1, broadcast_values // max(1, probe["d"]))
-    rows = right.select(col(vector)).limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if right.count() * max(1, probe["d"]) > broadcast_values:
         return _nearest_by_pivots(left, right, ids, vector, name)
+    rows = right.select(col(vector)).toArrow()
     block = left.sparkSession.sparkContext.broadcast(_matrix(rows.column(0).to_pylist()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,7 @@ from flowkit.operators.clean import tag
 from flowkit.operators.dedup import align_by_id, dedup, union_aligned
 from flowkit.operators.sample import cap_per_label, shuffle
 from flowkit.spec import ENSEMBLE_WEIGHTS
+from flowkit.staging import stage
 
 METRICS = ("accuracy", "precision_macro", "recall_macro", "f1_macro",
            "precision_weighted", "recall_weighted", "f1_weighted")
@@ -38,7 +39,7 @@ def merge_train(
     parts += [
         tag(dedup(df), "__source__", "minor", label, strategy) for label, strategy, df in minority
     ]
-    return shuffle(union_aligned(parts), ids, seed)
+    return shuffle(stage(union_aligned(parts)), ids, seed)
 
 
 def sample_test(
@@ -184,26 +185,49 @@ def robustness_table(
     pairs: DataFrame, keys: Sequence[str] = ("model", "attack"), y: str = "y",
     plain: str = "plain_pred", pert: str = "pert_pred",
 ) -> DataFrame:
-    """Plain and perturbed accuracy and F1, and ASR, per model and attack; also as text."""
-    names = list(keys)
-    cells = pairs.groupBy(*[col(k) for k in names], col(y), col(plain), col(pert)).agg(
-        F.count("*").alias("w")
-    )
+    """Plain and perturbed accuracy and F1, and ASR, per model and attack; also as text.
+
+    One pass: the rows are counted per cell, and each cell then speaks for its class as truth and
+    as prediction, plain and perturbed.
+    """
+    names = [col(k) for k in keys]
+    cells = pairs.groupBy(*names, col(y), col(plain), col(pert)).agg(F.count("*").alias("w"))
+    w, zero = F.col("w"), F.lit(0).cast("bigint")
+    right = col(plain) == col(y)
 
-    def side(p: str, prefix: str) -> DataFrame:
-        m = classification_metrics(cells, y, p, names, "w")
-        return m.select(
-            *names, F.col("accuracy").alias(f"{prefix}_acc"), F.col("f1_macro").alias(f"{prefix}_f1")
+    def view(side: str, cls: str, truth: bool) -> Column:
+        p = col(plain if side == "plain" else pert)
+        counted = truth and side == "plain"
+        return F.struct(
+            F.lit(side).alias("side"), col(cls).alias("cls"),
+            (w if truth else zero).alias("support"), (zero if truth else w).alias("predicted"),
+            (F.when(p == col(y), w).otherwise(zero) if truth else zero).alias("tp"),
+            (F.when(right, w).otherwise(zero) if counted else zero).alias("right"),
+            (F.when(right & (col(pert) != col(y)), w).otherwise(zero) if counted else zero).alias("lost"),
         )
 
-    right = col(plain) == col(y)
-    lost = right & (col(pert) != col(y))
-    n_right = F.sum(F.when(right, F.col("w")).otherwise(0))
-    rate = cells.groupBy(*[col(k) for k in names]).agg(
-        F.when(n_right > 0, F.sum(F.when(lost, F.col("w")).otherwise(0)) / n_right)
-        .otherwise(0.0).alias("asr")
+    views = F.explode(F.array(
+        view("plain", y, True), view("plain", plain, False),
+        view("pert", y, True), view("pert", pert, False),
+    ))
+    per_class = (
+        cells.select(*names, views.alias("__x__")).select(*names, "__x__.*")
+        .groupBy(*names, "side", "cls")
+        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp", "right", "lost")])
     )
-    table = side(plain, "plain").join(side(pert, "pert"), names).join(rate, names)
+    both = F.col("predicted") + F.col("support")
+    f1 = F.when(both > 0, 2 * F.col("tp") / both).otherwise(0.0)
+
+    def of(side: str, c: Column) -> Column:
+        return F.when(F.col("side") == side, c)
+
+    measures = []
+    for side in ("plain", "pert"):
+        hits, n = F.sum(of(side, F.col("tp"))), F.sum(of(side, F.col("support")))
+        measures += [(hits / n).alias(f"{side}_acc"), F.avg(of(side, f1)).alias(f"{side}_f1")]
+    rights, losses = F.sum("right"), F.sum("lost")
+    rate = F.when(rights > 0, losses / rights).otherwise(0.0).alias("asr")
+    table = per_class.groupBy(*names).agg(*measures, rate)
     values = ("plain_acc", "plain_f1", "pert_acc", "pert_f1", "asr")
     return table.select(*names, *values, *[percent_text(F.col(v)).alias(f"{v}_text") for v in values])
 
