@@ -37,6 +37,26 @@ def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df.withColumn("__all__", F.lit(0)), ["__all__"]
 
 
+def _join_groups(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Bring the columns of a table (keys, ...) to the rows.
+
+    Without grouping the table has at most one row per wanted statistic, so its values become
+    literals and no join is planned.
+    """
+    if keys != ["__all__"]:
+        return lookup(df, table, keys, how)
+    table = table.drop("__all__")
+    rows = table.collect()
+    kinds = {f.name: f.dataType for f in table.schema}
+    if not rows:
+        empty = df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+        return empty if how == "left" else empty.where(F.lit(False))
+    values = [F.struct(*[F.lit(r[c]).cast(k).alias(c) for c, k in kinds.items()]) for r in rows]
+    if len(values) == 1:
+        return df.withColumns({c: F.lit(rows[0][c]).cast(k) for c, k in kinds.items()})
+    return df.withColumn("__g__", F.explode(F.array(*values))).select(*_cols(df.columns), "__g__.*")
+
+
 def _attach_quota(groups: DataFrame, keys: list[str], quota: Quota) -> DataFrame:
     """Add `__q__` to a table that has the group size in `__n__`."""
     if isinstance(quota, DataFrame):
@@ -127,7 +147,7 @@ def hash_flag(
     With `size`, the number of rows of the group comes along.
     """
     keyed, names = _with_key(df, keys)
-    joined = lookup(keyed, hash_thresholds(df, keys, ids, seed, quota), names, how="left")
+    joined = _join_groups(keyed, hash_thresholds(df, keys, ids, seed, quota), names, how="left")
     inside = F.coalesce(order_hash(seed, ids) <= F.col("__cut__"), F.lit(False)).alias(flag)
     extra = [F.col("__n__").alias(size)] if size else []
     return joined.select(*_cols(df.columns), inside, *extra)
@@ -139,7 +159,7 @@ def hash_take(
     """Keep the first `quota` rows of each group in seeded hash order."""
     keyed, names = _with_key(df, keys)
     cuts = hash_thresholds(df, keys, ids, seed, quota).where(F.col("__cut__").isNotNull())
-    joined = lookup(keyed, cuts.drop("__n__"), names)
+    joined = _join_groups(keyed, cuts.drop("__n__"), names)
     return joined.where(order_hash(seed, ids) <= F.col("__cut__")).select(*_cols(df.columns))
 
 
@@ -209,7 +229,7 @@ def order_statistics(
         targets = _narrow_brackets(narrow, targets, keys)
     by = [*_cols(keys), F.col("__n__"), F.col("__t__"), F.col("__r__")]
     counted = (
-        lookup(narrow, targets, keys).where(_not_above())
+        _join_groups(narrow, targets, keys).where(_not_above())
         .groupBy(*by, F.when(_not_below(), F.col("__v__")).alias("__v__"))
         .agg(F.count("*").alias("__c__"))
     )
@@ -254,7 +274,7 @@ def _narrow_brackets(narrow: DataFrame, targets: DataFrame, keys: list[str]) ->
     by = [*_cols(keys), F.col("__n__"), F.col("__t__"), F.col("__r__"), F.col("__lo__"), F.col("__hi__")]
     inside = F.when(_not_below(), F.col("__v__"))
     sketch = (
-        lookup(narrow, targets, keys).where(_not_above()).groupBy(*by)
+        _join_groups(narrow, targets, keys).where(_not_above()).groupBy(*by)
         .agg(
             F.count("*").alias("__upto__"), F.count(inside).alias("__m__"),
             F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias("__g__"),
@@ -313,7 +333,7 @@ def smallest_thresholds(
     split = kth.where("__split__")
     if split.isEmpty():
         return kth.select(*_cols(keys), "kth", F.lit(None).cast("string").alias("__cut__")), list(keys)
-    ties = lookup(narrow, split.select(*_cols(keys), "kth"), list(keys)).where("__v__ = kth")
+    ties = _join_groups(narrow, split.select(*_cols(keys), "kth"), list(keys)).where("__v__ = kth")
     cuts = hash_thresholds(ties, keys, ids, seed, split.select(*_cols(keys), "quota"))
     return kth.select(*_cols(keys), "kth").join(cuts.drop("__n__"), list(keys), "left"), list(keys)
 
@@ -332,4 +352,4 @@ def take_smallest(
     inside = (v < F.col("kth")) | (
         (v == F.col("kth")) & (F.col("__cut__").isNull() | (order_hash(seed, ids) <= F.col("__cut__")))
     )
-    return lookup(keyed, cuts, names).where(inside).select(*_cols(df.columns))
+    return _join_groups(keyed, cuts, names).where(inside).select(*_cols(df.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowkit.functions import bounded_quota, col, order_hash, split_sources
 from flowkit.operators.dedup import source_counts_per_key
 from flowkit.operators.ranking import hash_flag, hash_rank, hash_take, take_smallest
-from flowkit.staging import bounded, stage
+from flowkit.staging import bounded, lookup, stage
 
 
 def split_by_label(
@@ -245,11 +245,12 @@ def top_closest(
 def argmin_per_group(
     df: DataFrame, keys: Sequence[str], ids: Sequence[str], value: str = "dist", seed: int = 42
 ) -> DataFrame:
-    """Ids and value of the row with the smallest value per group; ties by seeded hash."""
-    best = F.min_by(
-        F.struct(*[col(i) for i in ids], col(value)),
-        F.struct(col(value), order_hash(seed, ids)),
-    )
-    return df.groupBy(*[col(k) for k in keys]).agg(best.alias("__b__")).select(
-        *[col(k) for k in keys], "__b__.*"
-    )
+    """Ids and value of the row with the smallest value per group; ties by seeded hash.
+
+    First the smallest value per group, a hash aggregate; only rows that reach it are compared.
+    """
+    names = [col(k) for k in keys]
+    least = df.groupBy(*names).agg(F.min(col(value)).alias("__min__"))
+    reached = lookup(df, least, list(keys)).where(col(value) == F.col("__min__"))
+    best = F.min_by(F.struct(*[col(i) for i in ids], col(value)), order_hash(seed, ids))
+    return reached.groupBy(*names).agg(best.alias("__b__")).select(*names, "__b__.*")
