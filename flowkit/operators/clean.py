@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,24 +255,12 @@ def drop_repeated_headers(df: DataFrame, label: str = "Label") -> DataFrame:
 
 # ---- the cleaning chain and its report ------------------------------------------------------
 
-def clean_rows(
-    df: DataFrame, spec: DatasetSpec, observe: Observation | None = None
-) -> DataFrame:
+def clean_rows(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Select, coerce, normalise labels, drop header lines and bad or negative rows.
 
-    Row-wise only; one narrow stage. With `observe`, its metrics count rows read and dropped.
+    Row-wise only; one narrow stage. `cleaning_report` counts what it drops.
     """
     typed = strip_label(coerce_types(select_features(df, spec), spec), spec.label)
-    if observe is not None:
-        header = F.coalesce(col(spec.label) == "Label", F.lit(False))
-        bad, negative = _missing_or_inf(typed), ~_not_negative(typed)
-        typed = typed.observe(
-            observe,
-            F.count("*").alias("rows_read"),
-            F.count_if(header).alias("header_rows"),
-            F.count_if(~header & bad).alias("bad_rows"),
-            F.count_if(~header & ~bad & negative).alias("negative_rows"),
-        )
     return typed.where((col(spec.label) != "Label") & _usable(typed))
 
 
