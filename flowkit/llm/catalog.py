@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm import packing, simhash, toxicity
+from flowkit.llm import mixing, packing, simhash, suffixes, toxicity
 from flowkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,10 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -29,5 +33,12 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-for _query in (op1_retrieval_packing, op4_simhash_trie, op5_toxicity_ftrl):
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_bytes(table(spark, sf_dir, "documents"))
+
+
+for _query in (
+    op1_retrieval_packing, op2_mixing_tree, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
+):
     QUERIES[_query.__name__] = _query
+SQL["op2_mixing_tree"] = mixing.TAKEN_SQL

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowkit.llm.common import components, local_roots, words
+from flowkit.llm.common import components, free_name, local_roots, words
 from flowkit.staging import stage
 
 SHINGLE = 3
@@ -161,10 +161,9 @@ def _leaf_pairs(levels: list[DataFrame], budget: int) -> DataFrame:
     A pair of nodes moves down until both are leaves; a leaf waits for the other side, and only
     the bits of their common depth count.
     """
-    long0 = F.lit(0).cast("long")
     live = levels[0].select(
-        long0.alias("a"), F.lit(0).alias("da"), F.col("open").alias("oa"),
-        long0.alias("b"), F.lit(0).alias("db"), F.col("open").alias("ob"))
+        F.col("node").alias("a"), F.lit(0).alias("da"), F.col("open").alias("oa"),
+        F.col("node").alias("b"), F.lit(0).alias("db"), F.col("open").alias("ob"))
     done = []
     for level in range(len(levels)):
         done.append(live.where("not oa and not ob"))
@@ -233,5 +232,15 @@ def simhash_groups(
     return rows.join(grouped.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+def without_near_copies(docs: DataFrame, budget: int = ERRORS) -> DataFrame:
+    """Rows of `docs`, one per group: the one with the smallest doc_id, ids that are null last."""
+    row = free_name(docs, "row")
+    kept = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col(row).alias("r"))
+    groups = simhash_groups(kept.select(key.alias("doc_id"), "text"), budget=budget)
+    first = groups.where("doc_id.r = component_id.r").select(F.col("doc_id.r").alias(row))
+    return kept.join(first, row, "left_semi").drop(row)
+
+
 def fingerprint_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
