@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm import mixing, packing, simhash, suffixes, toxicity
+from flowkit.llm import mixing, packing, pages, simhash, suffixes, toxicity
 from flowkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,10 @@ def op2_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -38,7 +42,7 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _query in (
-    op1_retrieval_packing, op2_mixing_tree, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
+    op1_retrieval_packing, op2_mixing_tree, op3_line_blocks, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
 ):
     QUERIES[_query.__name__] = _query
 SQL["op2_mixing_tree"] = mixing.TAKEN_SQL
