@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm import mixing, packing, pages, simhash, suffixes, toxicity, vectors
+from flowkit.llm import licenses, mixing, packing, pages, simhash, suffixes, toxicity, vectors
 from flowkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,9 +49,14 @@ def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 for _query in (
     op1_retrieval_packing, op2_mixing_tree, op3_line_blocks, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
-    op8_pivot_top_k, op9_multi_index,
+    op8_pivot_top_k, op9_multi_index, op10_license_windows,
 ):
     QUERIES[_query.__name__] = _query
 SQL["op2_mixing_tree"] = mixing.TAKEN_SQL
+SQL["op10_license_windows"] = licenses.scan_sql()
