@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 100_000
+# Folders of the tables that `stage` has written in this process and nobody has released.
+_staged: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +34,45 @@ def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives executor loss."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables that no DataFrame still in use reads."""
+    for path in paths:
+        if path in _staged:
+            _staged.remove(path)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_all_but(df: DataFrame) -> None:
+    """Remove all staged tables, if `df` reads none of them."""
+    if _staged and not any(p.split(":")[-1].lstrip("/") in f for f in df.inputFiles() for p in _staged):
+        release(df.sparkSession, list(_staged))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables staged inside when it ends; names added to the list given are kept.
+
+    Use it where the result is itself staged, so that nothing lazy still reads the others.
+    """
+    before, kept = set(_staged), []
+    try:
+        yield kept
+    finally:
+        release(spark, [p for p in _staged if p not in before and p not in kept])
+
+
+def stage_result(df: DataFrame, kept: list[str]) -> DataFrame:
+    """`stage` for the result of a `scratch` block."""
+    out = stage(df)
+    kept.append(_staged[-1])
+    return out
+
+
 def bounded(small: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
     """Evaluate a parameter table whose size is expected to be small.
 
