@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm import licenses, mixing, packing, pages, simhash, suffixes, toxicity, vectors
+from flowkit.llm import katz, licenses, mixing, packing, pages, simhash, suffixes, toxicity, vectors
 from flowkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,10 @@ def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +59,7 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _query in (
     op1_retrieval_packing, op2_mixing_tree, op3_line_blocks, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
-    op8_pivot_top_k, op9_multi_index, op10_license_windows,
+    op7_katz_backoff, op8_pivot_top_k, op9_multi_index, op10_license_windows,
 ):
     QUERIES[_query.__name__] = _query
 SQL["op2_mixing_tree"] = mixing.TAKEN_SQL
