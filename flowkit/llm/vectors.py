@@ -135,15 +135,17 @@ def exact_top_k(embeddings: DataFrame, every: int = 20, k: int = TOP) -> DataFra
             other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
 
     queries = dealt(table.where(is_query), "qb", q_blocks, "cb", c_blocks)
-    candidates = dealt(table, "cb", c_blocks, "qb", q_blocks)
+    # both sides read one table: new names keep the optimizer from taking their columns for the same
+    candidates = dealt(table, "cb", c_blocks, "qb", q_blocks).toDF(
+        "row_c", "id_c", "v_c", "d_c", "cb", "qb")
     out = "row long, query_id long, vec_id long, score long"
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         def read(t: pa.Table):
-            v = np.frombuffer(b"".join(t.column("v").to_pylist()), np.int64).reshape(t.num_rows, dims)
-            d = np.frombuffer(b"".join(t.column("d").to_pylist()), np.float64).reshape(t.num_rows, -1) if len(
+            v = np.frombuffer(b"".join(t.column(2).to_pylist()), np.int64).reshape(t.num_rows, dims)
+            d = np.frombuffer(b"".join(t.column(3).to_pylist()), np.float64).reshape(t.num_rows, -1) if len(
                 shared.value) else np.zeros((t.num_rows, 0))
-            return t.column("row").to_numpy(), t.column("id").to_numpy(), v, d
+            return t.column(0).to_numpy(), t.column(1).to_numpy(), v, d
 
         got = []
         if q.num_rows and c.num_rows:
