@@ -102,17 +102,16 @@ def _uniform_sql(c: str) -> str:
 
 @query("e4_quantile_uniform", f"""WITH {FLOWS}, fit AS (
   SELECT quantile_cont(price, {GRID}::DOUBLE[]) AS q_price, quantile_cont(quantity, {GRID}::DOUBLE[]) AS q_quantity
-  FROM (SELECT * FROM flows ORDER BY {sql_hash(42, IDS)} LIMIT 20000))
+  FROM flows)
 SELECT {ID_LIST}, {_uniform_sql('price')}, {_uniform_sql('quantity')} FROM flows, fit""")
 def e4(spark: SparkSession, d: str) -> DataFrame:
     rows = flows(spark, d)
-    params = encode.fit_quantiles(rows, ["price", "quantity"], IDS, N_QUANTILES, subsample=20_000)
+    params = encode.fit_quantiles(rows, ["price", "quantity"], IDS, N_QUANTILES)
     return encode.quantile_uniform(rows, params).select(*IDS, *_rounded(rows, "price", "quantity"))
 
 
 @query("e4_quantile_uniform_inverse", f"""WITH {FLOWS}, fit AS (
-  SELECT quantile_cont(price, {GRID}::DOUBLE[]) AS q FROM (
-    SELECT * FROM flows ORDER BY {sql_hash(42, IDS)} LIMIT 100000))
+  SELECT quantile_cont(price, {GRID}::DOUBLE[]) AS q FROM flows)
 SELECT {ID_LIST}, round(greatest(q[1], least(q[{N_QUANTILES}], price)), 4) AS price FROM flows, fit""")
 def e4_inverse(spark: SparkSession, d: str) -> DataFrame:
     rows = flows(spark, d)
@@ -129,8 +128,7 @@ def e5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e5_quantile_normal_inverse", f"""WITH {FLOWS}, fit AS (
-  SELECT min(price) AS lo, max(price) AS hi FROM (
-    SELECT * FROM flows ORDER BY {sql_hash(42, IDS)} LIMIT 100000))
+  SELECT min(price) AS lo, max(price) AS hi FROM flows)
 SELECT {ID_LIST}, round(greatest(lo, least(hi, price)), 2) AS price FROM flows, fit""")
 def e5_inverse(spark: SparkSession, d: str) -> DataFrame:
     rows = flows(spark, d)

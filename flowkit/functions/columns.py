@@ -46,9 +46,16 @@ def sanitize_port(c: Column) -> Column:
 
 
 def order_hash(seed: int | str, ids: Iterable[str | Column]) -> Column:
-    """Seeded md5 of an id; sorting by it is a random order that any engine reproduces."""
-    parts = [(col(i) if isinstance(i, str) else i).cast("string") for i in ids]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    """Seeded md5 of an id; sorting by it is a random order that any engine reproduces.
+
+    Different ids have different texts below the hash: `|` and `\\` are escaped, and null is `\\N`.
+    """
+    def part(i: str | Column) -> Column:
+        text = (col(i) if isinstance(i, str) else i).cast("string")
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *map(part, ids)))
 
 
 def hash_unit(h: Column) -> Column:
@@ -57,7 +64,9 @@ def hash_unit(h: Column) -> Column:
 
 
 def row_key(cols: Iterable[str]) -> Column:
-    return F.xxhash64(*[col(c) for c in cols])
+    """64-bit key for shuffles: equal rows have equal keys. Nulls count with their place."""
+    names = list(cols)
+    return F.xxhash64(*[col(c) for c in names], *[col(c).isNull() for c in names])
 
 
 def split_sources(c: Column) -> Column:

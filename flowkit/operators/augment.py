@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkit.functions import col, hash_unit, order_hash
-from flowkit.operators.dedup import dedup, dedup_by_features, exclude_known, exclude_known_multi
+from flowkit.operators.dedup import dedup, dedup_by_features, exclude_known_multi
 from flowkit.operators.ranking import hash_rank, take_smallest
 from flowkit.staging import stage
 
 # Multiplier, floor of the rate, and largest request of one round.
 REQUEST_MULTIPLIER = 3.0
 RATE_FLOOR = 1e-3
+# A usual size of one request; callers may set another one, or None for no limit.
 MAX_REQUEST = 60_000
-MAX_ROUNDS = 40
+# Rounds without a new row after which the generator counts as exhausted.
+PATIENCE = 3
 
 Generator = Callable[[int, int], DataFrame]
 
@@ -31,14 +33,20 @@ def need_per_label(df: DataFrame, tau: int, label: str = "Label") -> DataFrame:
     )
 
 
-def request_size(need: Column, rate: Column, mult: float = REQUEST_MULTIPLIER) -> Column:
+def request_size(
+    need: Column, rate: Column, mult: float = REQUEST_MULTIPLIER, most: int | None = MAX_REQUEST
+) -> Column:
     """Rows to ask the generator for in one round."""
     by_rate = need / F.greatest(rate, F.lit(RATE_FLOOR)) * mult
-    return F.least(F.greatest(need * mult, by_rate), F.lit(float(MAX_REQUEST))).cast("bigint")
+    wanted = F.greatest(need * mult, by_rate)
+    return (wanted if most is None else F.least(wanted, F.lit(float(most)))).cast("bigint")
 
 
-def request_rows(need: int, rate: float, mult: float = REQUEST_MULTIPLIER) -> int:
-    return int(min(max(need * mult, need / max(rate, RATE_FLOOR) * mult), MAX_REQUEST))
+def request_rows(
+    need: int, rate: float, mult: float = REQUEST_MULTIPLIER, most: int | None = MAX_REQUEST
+) -> int:
+    wanted = max(need * mult, need / max(rate, RATE_FLOOR) * mult)
+    return int(wanted if most is None else min(wanted, most))
 
 
 def fit_critic(
@@ -86,23 +94,29 @@ def augment_until(
     generate: Generator, known: Sequence[DataFrame], features: Sequence[str],
     order: Sequence[str | Column], need: int, rate: float = 0.30,
     score: Callable[[DataFrame], DataFrame] | None = None, ids: Sequence[str] = ("gen_id",),
-    max_rounds: int = MAX_ROUNDS, final_fill: bool = True,
+    max_rounds: int | None = None, final_fill: bool = True, most: int | None = MAX_REQUEST,
+    short: str | None = None,
 ) -> DataFrame | None:
-    """Generate, score, admit, until `need` rows are there or the rounds are used up.
+    """Generate, score, admit, until `need` rows are there.
+
+    Without `max_rounds` it goes on while rounds bring new rows, and gives up after a few that do
+    not. `short` says what happens when rows are missing in the end: "raise" (the default without
+    `max_rounds`) or "return" what there is (the default where the caller limits the rounds).
 
     `generate(round, n)` gives `n` candidate rows in raw form. Each round's accepted rows are
     written to the shared folder and only counted on the driver. The last step trims to the need,
     or asks once more for what is missing.
     """
     accepted: list[DataFrame] = []
-    have, turn = 0, 0
-    while have < need and turn < max_rounds:
+    have, turn, idle = 0, 0, 0
+    while have < need and idle < PATIENCE and (max_rounds is None or turn < max_rounds):
         turn += 1
-        batch = generate(turn, request_rows(need - have, rate))
+        batch = generate(turn, request_rows(need - have, rate, most=most))
         if score is not None:
             batch = accept_top(stage(score(batch)), ids, rate)
         fresh = stage(admit(batch, [*known, *accepted], features, order))
         count = fresh.count()
+        idle = 0 if count else idle + 1
         if count:
             accepted.append(fresh.withColumn("__round__", F.lit(turn)))
             have += count
@@ -110,6 +124,9 @@ def augment_until(
         batch = generate(turn + 1, need - have)
         extra = stage(admit(batch, [*known, *accepted], features, order))
         accepted.append(extra.withColumn("__round__", F.lit(turn + 1)))
+        have += extra.count()
+    if have < need and (short or ("raise" if max_rounds is None else "return")) == "raise":
+        raise ValueError(f"{need - have} of {need} rows are missing: the generator gives no more new ones")
     if not accepted:
         return None
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), accepted)
@@ -163,6 +180,6 @@ def interpolate(
 
 
 __all__ = [
-    "accept_top", "admit", "augment_until", "critic_score", "exclude_known", "fit_critic",
+    "accept_top", "admit", "augment_until", "critic_score", "fit_critic",
     "interpolate", "merge_augmented", "need_per_label", "request_rows", "request_size",
 ]

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowkit.functions import bad_value, col, parse_number, row_key, split_sources
+from flowkit.functions import bad_value, col, order_hash, parse_number, split_sources
 from flowkit.operators.ranking import hash_rank
 from flowkit.spec import DatasetSpec
 
 TECH_COLUMNS = ("__rowid__", "__subset__", "_key_")
+# Fixed values.
 LABEL_CANDIDATES = ("label", "y", "target", "class", "Label")
 
 
@@ -294,4 +295,5 @@ def cleaning_report(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 
 def with_row_key(df: DataFrame, cols: Sequence[str], name: str = "_key_") -> DataFrame:
-    return df.withColumn(name, row_key(cols))
+    """A 128-bit key of the columns that stands for their content, nulls included."""
+    return df.withColumn(name, order_hash("row", cols))

@@ -15,17 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowkit.functions import col, half_even, inverse_normal, row_key, sanitize_port
+from flowkit.functions import col, half_even, inverse_normal, order_hash, sanitize_port
 from flowkit.operators.clean import reorder, select_features
 from flowkit.operators.dedup import dedup, dedup_ignoring
-from flowkit.operators.ranking import hash_take
 from flowkit.operators.report import continuous_stats, global_clip
 from flowkit.operators.sample import stratified_split
 from flowkit.spec import DatasetSpec
 from flowkit.staging import bounded, lookup, stage
 
 QUANTILES = 1000
-SUBSAMPLE = 100_000
+VALUE_BUCKETS = 256
 NORMAL_EDGE = 1e-7
 PORTS = 65_535
 TINY = 1e-9
@@ -65,15 +64,45 @@ def fit_labels(df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def fit_quantiles(
-    df: DataFrame, cols: Sequence[str], ids: Sequence[str], n_quantiles: int = QUANTILES,
-    subsample: int = SUBSAMPLE, seed: int = 42,
+    df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), n_quantiles: int = QUANTILES
 ) -> DataFrame:
-    """(column, quantiles): exact quantiles of a seeded subsample of bounded size."""
-    rows = hash_take(df, [], ids, seed, subsample)
-    grid = [float(x) for x in np.linspace(0.0, 1.0, n_quantiles)]
-    wide = rows.agg(*[F.percentile(col(c), F.array(*map(F.lit, grid))).alias(c) for c in cols])
-    pairs = [F.struct(F.lit(c).alias("column"), col(c).alias("quantiles")) for c in cols]
-    return wide.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    """(column, quantiles): exact interpolated quantiles of all rows, for all columns at once.
+
+    Counts per distinct value are ranked by a prefix sum over buckets of values and then within
+    each bucket, so no column is one group. A column without values has no row. `ids` is not
+    needed any more and stays for callers.
+    """
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("v")) for c in cols
+    ]))
+    values = df.select(cells.alias("x")).select("x.*").where("v is not null and not isnan(v)")
+    counts = stage(values.groupBy("column", "v").agg(F.count("*").alias("n")))
+    cuts = [k / VALUE_BUCKETS for k in range(1, VALUE_BUCKETS)]
+    bounds = counts.groupBy("column").agg(
+        F.percentile_approx("v", cuts, 10 * VALUE_BUCKETS).alias("bounds"), F.sum("n").alias("total"))
+    placed = lookup(counts, bounds, ["column"]).withColumn(
+        "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
+    upto = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy("column", "bucket").agg(F.sum("n").alias("inside"))
+    base = sums.select("column", "bucket", (F.sum("inside").over(upto) - F.col("inside")).alias("base"))
+    within = Window.partitionBy("column", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("inside", F.sum("n").over(within)).join(base, ["column", "bucket"]).select(
+        "column", "v", "total", (F.col("base") + F.col("inside")).alias("upto"),
+        (F.col("base") + F.col("inside") - F.col("n")).alias("from"))
+    # grid points whose lower or upper neighbour has this value
+    grid = F.array(*[F.lit(float(x)) for x in np.linspace(0.0, 1.0, n_quantiles)])
+    steps, span = n_quantiles - 1, F.greatest(F.col("total") - 1, F.lit(1))
+    first = F.greatest(F.lit(0), F.floor((F.col("from") - 1) * steps / span) - 1).cast("int")
+    last = F.least(F.lit(steps), F.ceil(F.col("upto") * steps / span) + 1).cast("int")
+    points = ranked.withColumn("i", F.explode(F.sequence(F.least(first, last), last))).withColumn(
+        "at", F.get(grid, F.col("i")) * (F.col("total") - 1))
+    held = lambda rank: F.when((rank >= F.col("from")) & (rank < F.col("upto")), F.col("v"))
+    found = points.groupBy("column", "i").agg(
+        F.max(held(F.floor("at"))).alias("low"), F.max(held(F.ceil("at"))).alias("high"), F.first("at").alias("at"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    return found.where("low is not null").groupBy("column").agg(
+        F.sort_array(F.collect_list(F.struct("i", value.alias("q")))).alias("s")).select(
+        "column", F.transform("s", lambda x: x["q"]).alias("quantiles"))
 
 
 @dataclass(frozen=True)
@@ -127,14 +156,15 @@ def _replace(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 # ---- numeric scalers ------------------------------------------------------------------------
 
 def minmax(df: DataFrame, params: DataFrame, inverse: bool = False) -> DataFrame:
-    """`(x - min) / (max - min)`; a constant column has range 1."""
+    """`(x - min) / (max - min)`; a constant column has range 1, one without values starts at 0."""
     exprs = {}
     for c, p in _by_column(params).items():
         if c not in df.columns:
             continue
-        span = (p["max"] - p["min"]) or 1.0
+        low, high = (0.0, 0.0) if p["min"] is None else (p["min"], p["max"])
+        span = (high - low) or 1.0
         x = col(c).cast("double")
-        exprs[c] = x * F.lit(span) + F.lit(p["min"]) if inverse else (x - F.lit(p["min"])) / F.lit(span)
+        exprs[c] = x * F.lit(span) + F.lit(low) if inverse else (x - F.lit(low)) / F.lit(span)
     return _replace(df, exprs)
 
 
@@ -146,8 +176,8 @@ def standardize(
     for c, p in _by_column(params).items():
         if c not in df.columns or c in keep_raw:
             continue
-        std, x = p["std"] or 1.0, col(c).cast("double")
-        exprs[c] = x * F.lit(std) + F.lit(p["mean"]) if inverse else (x - F.lit(p["mean"])) / F.lit(std)
+        mean, std, x = p["mean"] or 0.0, p["std"] or 1.0, col(c).cast("double")
+        exprs[c] = x * F.lit(std) + F.lit(mean) if inverse else (x - F.lit(mean)) / F.lit(std)
     return _replace(df, exprs)
 
 
@@ -406,7 +436,7 @@ def prepare_training(
     stats = continuous_stats(out.select(*[col(c).cast("float").alias(c) for c in spec.cont]), spec.cont)
     out = label_encode(out, enc.labels, spec.label)
     if use_validation:
-        keyed = out if ids else out.withColumn("_key_", row_key(out.columns))
+        keyed = out if ids else out.withColumn("_key_", order_hash("row", out.columns))
         parts = stratified_split(keyed, ids or ["_key_"], spec.label, val_size, seed)
         out = parts.select(*[col(c) for c in out.columns], "subset")
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions import col, order_hash
-from flowkit.staging import bounded, lookup
+from flowkit.staging import bounded, join_groups, lookup
 
 Quota = int | Column | Callable[[Column], Column] | DataFrame
 
@@ -92,7 +92,7 @@ def hash_thresholds(
         digits += HEX_STEP
         finer = _prefix_histogram(band, keys, digits)
         needs = cut.select(*_cols(keys), F.col("__need__").alias("__q__"))
-        cut = _cut_bucket(finer.join(needs, keys), keys)
+        cut = _cut_bucket(join_groups(finer, needs, keys), keys)
     order = Window.partitionBy(*_cols(keys)).orderBy("__h__")
     inside = (
         _in_bucket(narrow, cut, keys, digits)
@@ -100,7 +100,7 @@ def hash_thresholds(
         .where(F.col("__rn__") <= F.col("__need__"))
         .groupBy(*_cols(keys)).agg(F.max("__h__").alias("__cut__"))
     )
-    return sizes.join(bounded(inside)[0], keys, "left").select(*_cols(keys), "__n__", "__cut__")
+    return join_groups(sizes, bounded(inside)[0], keys, "left").select(*_cols(keys), "__n__", "__cut__")
 
 
 def _prefix_histogram(narrow: DataFrame, keys: list[str], digits: int) -> DataFrame:
@@ -323,7 +323,7 @@ def smallest_thresholds(
     if not set(keys) <= set(quota.columns):
         quota = quota.withColumn("__all__", F.lit(0))
     quota = quota.where(F.col("quota") > 0)
-    narrow = df.select(*_cols(keys), col(value).cast("double").alias("__v__"), *_cols(ids))
+    narrow = df.select(*_cols(keys), _nulls_last(value).alias("__v__"), *_cols(ids))
     stats = order_statistics(narrow, keys, "__v__", quota=quota)
     needed = F.least(F.col("quota"), F.col("__n__")) - F.col("kth.before")
     kth = bounded(lookup(stats, quota, list(keys)).select(
@@ -335,20 +335,27 @@ def smallest_thresholds(
         return kth.select(*_cols(keys), "kth", F.lit(None).cast("string").alias("__cut__")), list(keys)
     ties = _join_groups(narrow, split.select(*_cols(keys), "kth"), list(keys)).where("__v__ = kth")
     cuts = hash_thresholds(ties, keys, ids, seed, split.select(*_cols(keys), "quota"))
-    return kth.select(*_cols(keys), "kth").join(cuts.drop("__n__"), list(keys), "left"), list(keys)
+    return join_groups(kth.select(*_cols(keys), "kth"), cuts.drop("__n__"), list(keys), "left"), list(keys)
+
+
+def _nulls_last(value: str) -> Column:
+    return F.coalesce(col(value).cast("double"), F.lit(float("inf")))
 
 
 def take_smallest(
     df: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str], quota: int | DataFrame,
     seed: int = 42,
 ) -> DataFrame:
-    """The `quota` rows with the smallest `value` per group; ties by seeded hash of `ids`."""
+    """The `quota` rows with the smallest `value` per group; ties by seeded hash of `ids`.
+
+    Rows without a value come last, with the infinite ones.
+    """
     if isinstance(quota, int):
         keyed, names = _with_key(df, keys)
         quota = keyed.select(*_cols(names)).distinct().withColumn("quota", F.lit(quota))
     cuts, names = smallest_thresholds(df, keys, value, ids, seed, quota)
     keyed, _ = _with_key(df, keys)
-    v = col(value).cast("double")
+    v = _nulls_last(value)
     inside = (v < F.col("kth")) | (
         (v == F.col("kth")) & (F.col("__cut__").isNull() | (order_hash(seed, ids) <= F.col("__cut__")))
     )

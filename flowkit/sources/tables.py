@@ -40,7 +40,9 @@ def list_inputs(spark: SparkSession, folder: str, ext: str = ".csv") -> DataFram
 
 def header_names(line: Column) -> Column:
     """Column names of one header line, both ends stripped."""
-    return F.transform(F.split(line, ","), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    cells = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')  # commas outside quotes
+    bare = lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', ""))
+    return F.transform(cells, lambda x: F.replace(bare(x), F.lit('""'), F.lit('"')))
 
 
 def read_header(spark: SparkSession, files: DataFrame) -> DataFrame:

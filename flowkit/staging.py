@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,10 +87,23 @@ def bounded(small: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, b
     return stage(small), False
 
 
+def join_groups(
+    df: DataFrame, table: DataFrame, on: list[str], how: str = "inner"
+) -> DataFrame:
+    """Inner or left join on keys by name in which a null key meets a null key."""
+    names = {k: f"__on_{n}__" for n, k in enumerate(on)}
+    table = table.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()])
+    return df.join(table, same, how).drop(*names.values())
+
+
 def lookup(
     df: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     max_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
-    """Join with a parameter table: broadcast within the bound, shuffled join beyond it."""
+    """Join with a parameter table: broadcast within the bound, shuffled join beyond it.
+
+    A null key meets a null key, as it does when the table is made by grouping.
+    """
     table, fits = bounded(small, max_rows)
-    return df.join(F.broadcast(table) if fits else table, on, how)
+    return join_groups(df, F.broadcast(table) if fits else table, on, how)

@@ -82,3 +82,12 @@ def test_critic_prefers_its_label(spark):
     critic = augment.fit_critic(rows.where("id >= 20"), rows.where("id < 20"))
     scored = augment.critic_score(rows, critic)
     assert scored.where("id >= 20").agg(F.avg("score")).first()[0] > 0.8
+
+
+def test_a_shortfall_is_not_silent(rows):
+    few = lambda turn, n: augment.interpolate(rows.where("Label = 'rare'"), 3, ["id"], ["x", "y"], seed=1)
+    with pytest.raises(ValueError, match="missing"):
+        augment.augment_until(few, [rows], ["x", "y"], ["gen_id"], 10)
+    out = augment.augment_until(few, [rows], ["x", "y"], ["gen_id"], 10, short="return")
+    assert 0 < out.count() <= 3
+    assert augment.request_rows(1_000_000, 0.3, most=None) == 10_000_000

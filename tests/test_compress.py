@@ -101,3 +101,15 @@ def test_kmeans_assignment_is_nearest(placed):
 
 def test_pca(placed):
     assert len(compress.pca(placed, 2).first()["pca"]) == 2
+
+
+def test_minibatch_uses_every_row_and_can_exceed_a_batch(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.05, (300, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    model = compress.fit_clusters(rows, 200, ["id"], batch=100)
+    assert len(model.clusterCenters()) == 200
+    placed = compress.assign_clusters(rows, model)
+    assert placed.count() == 900 and placed.agg(F.avg("dist")).first()[0] < 0.1
+    one = compress.fit_clusters(rows, 1, ["id"], batch=50)
+    assert one.clusterCenters()[0] == pytest.approx(x.mean(0))

@@ -152,3 +152,21 @@ def test_params_round_trip(spark, rows, tmp_path):
     back = tables.load_params(spark, str(tmp_path), ["numeric", "labels", "categories"])
     assert back["labels"].orderBy("code").collect() == enc.labels.orderBy("code").collect()
     assert tables.load_params(spark, str(tmp_path), ["absent"]) is None
+
+
+def test_quantiles_use_every_row(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.exponential(size=3000), 2)
+    rows = spark.createDataFrame([(i, float(v), None) for i, v in enumerate(x)], "id int, x double, none double")
+    got = {r["column"]: r["quantiles"] for r in encode.fit_quantiles(rows, ["x", "none"], ["id"], 257).collect()}
+    assert list(got) == ["x"]
+    assert got["x"] == pytest.approx(np.quantile(x, np.linspace(0, 1, 257)).tolist())
+    one = spark.createDataFrame([(1, 2.5)], "id int, x double")
+    assert encode.fit_quantiles(one, ["x"], ["id"], 3).first()["quantiles"] == [2.5, 2.5, 2.5]
+
+
+def test_scalers_of_a_column_without_values(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "id int, x double")
+    params = encode.fit_numeric(rows, ["x"])
+    assert [r.x for r in encode.minmax(rows, params).collect()] == [None, None]
+    assert [r.x for r in encode.standardize(rows, params).collect()] == [None, None]

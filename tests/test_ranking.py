@@ -104,3 +104,19 @@ def test_independent_of_partitioning(spark, df, parts):
     spread = df.repartition(parts, F.rand(parts))
     got = {r["id"] for r in ranking.hash_take(spread, ["g"], ["id"], 9, 25).collect()}
     assert got == {r["id"] for r in ranking.hash_take(df, ["g"], ["id"], 9, 25).collect()}
+
+
+def test_ids_with_separators_and_nulls_are_told_apart(spark):
+    rows = spark.createDataFrame(
+        [("p|q", "r"), ("p", "q|r"), (None, "r"), ("r", None), ("\\N", "r"), ("p\\", "q")], "a string, b string")
+    assert ranking.hash_take(rows, [], ["a", "b"], 1, 1).count() == 1
+    from flowkit.functions import order_hash, row_key
+
+    assert rows.select(order_hash(1, ["a", "b"])).distinct().count() == 6
+    assert rows.where("a is null or b is null").select(row_key(["a", "b"])).distinct().count() == 2
+
+
+def test_null_values_come_last_and_fill_the_quota(spark):
+    rows = spark.createDataFrame([(i, None if i < 4 else float(i)) for i in range(10)], "id int, v double")
+    got = {r.id for r in ranking.take_smallest(rows, [], "v", ["id"], 9).collect()}
+    assert len(got) == 9 and set(range(4, 10)) <= got

@@ -130,3 +130,13 @@ def test_round_robin(spark, sizes, need):
     counts = spark.createDataFrame([("g", c, n) for c, n in table.items()], "Label string, cluster int, n bigint")
     got = compress.round_robin_quotas(counts, ["Label"], "cluster", F.lit(need)).collect()
     assert {r["cluster"]: r["quota"] for r in got} == rounds(table, need)
+
+
+def test_null_labels_keep_their_rows(spark):
+    rows = spark.createDataFrame([(i, None if i < 4 else "x") for i in range(10)], "id int, Label string")
+    parts = sample.split_by_label(rows, ["id"], test_size=0.3)
+    assert parts.count() == 10
+    assert {(r.Label, r.subset): r["count"] for r in parts.groupBy("Label", "subset").count().collect()} == {
+        (None, "test"): 2, (None, "train"): 2, ("x", "test"): 2, ("x", "train"): 4}
+    split = sample.stratified_split(rows, ["id"], val_size=0.3)
+    assert split.where("subset = 'val'").count() == 3

@@ -119,3 +119,10 @@ def test_metrics_as_json(spark, tmp_path):
     tables.write_metrics(df, str(tmp_path / "each"), per="model")
     assert spark.read.json(str(tmp_path / "all")).first()["accuracy"] == 0.5
     assert (tmp_path / "each" / "model=m").is_dir()
+
+
+def test_header_with_quoted_commas(spark):
+    line = spark.createDataFrame([('"a,1", b ,"say ""x""",Label',)], "line string")
+    from flowkit.sources.tables import header_names
+
+    assert line.select(header_names(line.line)).first()[0] == ["a,1", "b", 'say "x"', "Label"]
