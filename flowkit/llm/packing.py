@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowkit.llm.common import release_memory, tidy
 from flowkit.llm.tokens import default_vocabulary, encoder
 from flowkit.staging import stage
 
@@ -46,7 +47,7 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ["doc_id", "ids", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, n long")
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, n long")
     return stage(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -62,7 +63,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     counts = (
-        tokens.select("ids").mapInArrow(run, "term long, n long")
+        tokens.select("ids").mapInArrow(tidy(run), "term long, n long")
         .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     )
     out = np.zeros(VOCABULARY_SIZE, np.int64)
@@ -80,11 +81,13 @@ class Index:
         keys, tf = np.unique(keys, return_counts=True)
         doc, term = keys >> 16, keys & 0xFFFF
         self.terms = np.split(term, np.searchsorted(doc, np.arange(1, self.n)))
-        length = np.array([len(d) for d in docs])[doc]
+        # 16 bits of term, 21 of document (shards are bounded), 26 of count (BM25 is flat up there)
+        by_term = np.sort(term << 47 | doc << 26 | np.minimum(tf, (1 << 26) - 1))
+        term, self.docs, tf = by_term >> 47, by_term >> 26 & 0x1FFFFF, by_term & 0x3FFFFFF
+        length = np.array([len(d) for d in docs])[self.docs]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order].astype(np.float32)
-        self.start = np.searchsorted(term[order], np.arange(VOCABULARY_SIZE + 1))
+        self.weights = weight.astype(np.float32)
+        self.start = np.searchsorted(term, np.arange(VOCABULARY_SIZE + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents of the shard for the seed's most telling terms."""
@@ -147,6 +150,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
         crc = [zlib.crc32(ids[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
         shard = group.column("shard")[0].as_py()
         sizes = np.array([len(x) for x in ids], np.int64)
+        del index
+        release_memory()
         return pa.table({
             "doc_id": group.column("doc_id").take(pa.array(doc)), "start": start, "length": length,
             "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": sizes[doc],

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
