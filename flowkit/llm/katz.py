@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowkit.llm.common import id_remainder
+from flowkit.llm.common import id_remainder, release_memory, tidy
 from flowkit.staging import stage
 
 FOLDS = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 HOT_SHARE = 64
@@ -162,9 +162,9 @@ class Block:
         spread = np.where(count[h] > self.hot, ids[w] % (count[h] // self.hot + 1), 0)
         r = _range_of(ids[h] + spread * 1_000_003, self.ranges)
         order = np.lexsort((ids[w], ids[h], r))
-        back = np.empty(len(order), np.int64)
+        back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order))
-        self.of_token = back[self.of_token]
+        self.of_token = back[self.of_token].astype(np.int32)
         self.r, self.h, self.w = r[order], ids[h][order], ids[w][order]
         self.ch, self.cw, self.times = count[h][order], count[w][order], times[order]
 
@@ -225,7 +225,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_share: int
 
     read_rows = stage(docs.select(
         "doc_id", (id_remainder(F.col("doc_id"), FOLDS) == 0).alias("held"), "text").mapInArrow(
-        read, f"block long, r int, ids array<{kind}>, held array<boolean>, at binary, length binary, "
+        tidy(read), f"block long, r int, ids array<{kind}>, held array<boolean>, at binary, length binary, "
               "keys binary, times binary"))
     blocks = read_rows.where("r < 0").select("block", "ids", "held", "at", "length", "keys")
 
@@ -270,6 +270,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_share: int
                     pack(b.w[s]), pack(b.times[s]), pack(b.cw[s]))):
                     out[name].append(value)
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+        release_memory()
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
     to_blocks = words.where("block >= 0")
@@ -300,6 +301,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_share: int
             x.append(pack(c[asked]))
             y.append(pack(np.concatenate([s[k] for s in (*small, above)])))
             z.append(seen[k].tobytes())
+        release_memory()
         k = np.searchsorted(context, hot_h)
         x.append(pack(hot_h))
         y.append(pack(np.concatenate([s[k] for s in (*small, above)])))
@@ -348,6 +350,8 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_share: int
                 "base_score": np.add.reduceat(unigrams.base(known), begin),
                 "score": np.add.reduceat(np.log10(p)[b.of_token], begin)}
             tables.append(pa.table(table))
+            del b
+            release_memory()
         return pa.concat_tables(tables)
 
     both = to_blocks.select("block", "r", "x", "y", "z", F.lit(False).alias("pair")).union(
@@ -374,6 +378,6 @@ def _hot_contexts(merged: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
 
     names = [f"s{k}" for k in range(LARGEST + 1)]
     rows = merged.where("block < 0").select("x", "y", "z").mapInArrow(
-        open_, "h long, " + ", ".join(f"{s} long" for s in names) + ", seen double")
+        tidy(open_), "h long, " + ", ".join(f"{s} long" for s in names) + ", seen double")
     got = rows.groupBy("h").agg(*[F.sum(s).alias(s) for s in (*names, "seen")]).collect()
     return {r["h"]: (np.array([r[s] for s in names]), r["seen"]) for r in got}
