@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowkit.llm.common import components, free_name, local_roots, words
+from flowkit.llm.common import components, free_name, local_roots, tidy, words
 from flowkit.staging import stage
 
 SHINGLE = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp long")
 
 
 def trie_links(
@@ -215,7 +215,7 @@ def links_forest(distinct: DataFrame, budget: int = ERRORS, leaf: int = LEAF) ->
                 yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
     n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return joined.repartition(n, "a", "da", "b", "db").mapInArrow(run, "u long, v long")
+    return joined.repartition(n, "a", "da", "b", "db").mapInArrow(tidy(run), "u long, v long")
 
 
 def simhash_groups(

@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowkit.staging import stage
+from flowkit.llm.common import release_memory, tidy
+from flowkit.staging import scratch, stage, stage_result
 
 LENGTH = 400
 GRAM = 64
-CHUNK_BYTES = 1 << 20
-SHARD_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
+SHARD_BYTES = 1 << 19
+SLICE_ROWS = 500
 LEAST_SHARDS = 64
 HOT_CONTEXTS = 1024
 HOT_STRINGS = 1 << 19
@@ -129,11 +131,11 @@ def find_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ], ["k1", "k2", "id", "lo", "hi", "fp", "c1", "c2"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").mapInArrow(
-        run, "k1 long, k2 long, id string, lo int, hi int, fp long, c1 long, c2 long")
+        tidy(run), "k1 long, k2 long, id string, lo int, hi int, fp long, c1 long, c2 long")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols at least (symbols below 512).
+    """Suffixes in the order of their first `depth` symbols at least (1 to 511; 0 ends a text).
 
     Larsson-Sadakane: sort by the first few symbols, then refine only groups that still tie,
     by the group of the suffix that many symbols further on, doubling the sorted depth.
@@ -237,6 +239,7 @@ def in_shards(segments: DataFrame, shards: int, length: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         flags = repeated_starts(group.column("seg").to_pylist(), length)
+        release_memory()
         return _verdicts(group.column("fp"), group.column("c1"), group.column("c2"), flags)
 
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards))
@@ -294,7 +297,7 @@ def across_shards(segments: DataFrame, ranges: int, length: int) -> DataFrame:
                 part += 1
 
     parts = stage(segments.select("fp", "c1", "c2", "seg").mapInArrow(
-        cut, "part long, range long, high binary, low binary, n binary, at binary, who binary"))
+        tidy(cut), "part long, range long, high binary, low binary, n binary, at binary, who binary"))
 
     def merge(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -343,12 +346,17 @@ def _text_key(docs: DataFrame) -> DataFrame:
                 names)
 
     keys = [T.StructField(k, T.LongType()) for k in ("k1", "k2")]
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields + keys))
+    return docs.mapInArrow(tidy(run), T.StructType(docs.schema.fields + keys))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                   hot: int = HOT_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per text with repeats: key (k1, k2) and the runs (a, b) of starts that occur elsewhere too."""
+    with scratch(docs.sparkSession) as kept:
+        return stage_result(_find_runs(docs, length, gram, hot, shard_bytes), kept)
+
+
+def _find_runs(docs: DataFrame, length: int, gram: int, hot: int, shard_bytes: int) -> DataFrame:
     found = stage(find_contexts(docs, length, gram))
     twice = stage(found.groupBy("fp").count().where("count > 1").select("fp"))
     by_text = ["fp", "c1", "c2", "k1", "k2", "lo", "hi"]
@@ -372,7 +380,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     + [pa.array(seg, pa.binary())], ["fp", "c1", "c2", "m", "seg"])
 
     segments = stage(texts.join(wanted, ["k1", "k2", "id"]).select("text", "cs").mapInArrow(
-        extract, "fp long, c1 long, c2 long, m long, seg binary"))
+        tidy(extract), "fp long, c1 long, c2 long, m long, seg binary"))
     cold, warm = segments.where(F.col("m") <= hot), segments.where(F.col("m") > hot)
     size, strings = segments.agg(
         F.coalesce(F.sum(F.when(F.col("m") <= hot, F.length("seg"))), F.lit(0)),
@@ -385,7 +393,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         "k1", "k2", F.col("lo").alias("a"), F.col("hi").alias("b"))
     part = shared.join(verdicts, ["fp", "c1", "c2"]).select("k1", "k2", "lo", F.explode("runs").alias("r")).select(
         "k1", "k2", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
-    return stage(whole.union(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+    return (whole.union(part).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+
+
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are decoded at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(a, SLICE_ROWS)
 
 
 def _spans(n: int, runs: list[dict[str, int]] | None, length: int) -> list[tuple[int, int]]:
@@ -410,7 +425,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_slices(batches):
             out = []
             for k in range(batch.num_rows):
                 raw = (batch.column(1)[k].as_py() or "").encode()
@@ -425,7 +440,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame
 
     keyed = _text_key(docs.select("doc_id", "text"))
     return keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -435,7 +450,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
     at, last = [c.lower() for c in names].index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_slices(batches):
             texts = batch.column(at).to_pylist()
             for k, r in enumerate(batch.column(last).to_pylist()):
                 if r:
@@ -447,4 +462,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFra
 
     renamed = docs.toDF(*[f"c{k}" if k != at else "text" for k in range(last)])
     keyed = _text_key(renamed).join(runs, ["k1", "k2"], "left").drop("k1", "k2")
-    return keyed.mapInArrow(run, docs.schema)
+    return keyed.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowkit.llm.common import id_remainder
+from flowkit.llm.common import id_remainder, tidy
 from flowkit.staging import stage
 
 HASH_BITS = 20
@@ -31,16 +31,16 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 GAPS = (1, 2, 3)
 FOLDS = 5
+SLICE_ROWS = 1000
 
 
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words, and the borders of each text among them."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten().dictionary_encode()
-    full = np.array([bool(w) for w in flat.dictionary.to_pylist()], bool)
-    of_word = np.fromiter(
-        (xxhash.xxh3_64_intdigest(w.as_buffer()) for w in flat.dictionary), np.uint64,
-        len(flat.dictionary))
+    names = flat.dictionary.to_pylist()
+    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    full = np.array([bool(w) for w in names], bool)
     index = flat.indices.to_numpy()
     keep = full[index] if len(index) else np.zeros(0, bool)
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[keep]
@@ -62,9 +62,10 @@ def features(h: np.ndarray) -> np.ndarray:
 
 
 def _slices(texts: pa.Array) -> Iterator[np.ndarray]:
-    h, at = token_hashes(texts)
-    for k in range(len(texts)):
-        yield features(h[at[k]:at[k + 1]])
+    for a in range(0, len(texts), SLICE_ROWS):
+        h, at = token_hashes(texts.slice(a, SLICE_ROWS))
+        for k in range(len(at) - 1):
+            yield features(h[at[k]:at[k + 1]])
 
 
 class Ftrl:
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
                 [pa.array(x, pa.binary()), batch.column(1).cast(pa.int32()), batch.column(2).cast(pa.string())],
                 ["x", "y", "id"])
 
-    rows = stage(_sample(docs, labels, fit_rows).mapInArrow(extract, "x binary, y int, id string"))
+    rows = stage(_sample(docs, labels, fit_rows).mapInArrow(tidy(extract), "x binary, y int, id string"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = []
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
             at = at[:0]
         yield pa.record_batch([pa.array(at), pa.array(w[at])], ["i", "w"])
 
-    got = rows.coalesce(1).mapInArrow(learn, "i long, w double").toArrow()
+    got = rows.coalesce(1).mapInArrow(tidy(learn), "i long, w double").toArrow()
     i, w = got.column("i").to_numpy(), got.column("w").to_numpy()
     bias = float(w[i == 1 << HASH_BITS].sum())
     keep = i < 1 << HASH_BITS
@@ -173,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(
         "doc_id", (id_remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text",
-    ).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    ).mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -185,4 +186,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
