@@ -34,7 +34,7 @@ from flowkit.llm.common import id_remainder, release_memory, tidy
 from flowkit.staging import stage
 
 FOLDS = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
 HOT_SHARE = 64
