@@ -57,7 +57,7 @@ def nearest_distance(
     if probe is None:
         return left.withColumn(name, F.lit(None).cast("double"))
     if right.count() * max(1, probe["d"]) > broadcast_values:
-        return _nearest_by_pivots(left, right, ids, vector, name)
+        return _nearest_by_pivots(left, right, vector, name)
     rows = right.select(col(vector)).toArrow()
     block = left.sparkSession.sparkContext.broadcast(_matrix(rows.column(0).to_pylist()))
 
@@ -71,7 +71,7 @@ def nearest_distance(
 
 
 def _nearest_by_pivots(
-    left: DataFrame, right: DataFrame, ids: Sequence[str], vector: str, name: str
+    left: DataFrame, right: DataFrame, vector: str, name: str
 ) -> DataFrame:
     """Exact nearest distance as an equi-join on pivot cells.
 
@@ -98,11 +98,10 @@ def _nearest_by_pivots(
     for r in cells.groupBy("cell").agg(F.max("r").alias("r")).collect():
         radius[r["cell"]] = r["r"]
 
-    id_type = T.StructType([f for f in left.select(*[col(i) for i in ids]).schema])
-    keys = left.select(
-        F.to_json(F.struct(*[col(i) for i in ids])).alias("k"),
-        col(vector).cast("array<double>").alias("v"),
-    )
+    # a row number travels instead of the ids, which may be null, repeated or of any type
+    number = "__left__"
+    left = stage(left.withColumn(number, F.monotonically_increasing_id()))
+    keys = left.select(F.col(number).alias("k"), col(vector).cast("array<double>").alias("v"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,9 +126,9 @@ def _nearest_by_pivots(
 
         return run
 
-    visits = keys.mapInPandas(visit, "k string, v array<double>, cell int")
-    left_blocks = visits.repartitionByRange(F.col("cell"), F.md5("k")).mapInPandas(
-        pack("k"), "cell int, m binary, k array<string>"
+    visits = keys.mapInPandas(visit, "k long, v array<double>, cell int")
+    left_blocks = visits.repartitionByRange(F.col("cell"), F.xxhash64("k")).mapInPandas(
+        pack("k"), "cell int, m binary, k array<long>"
     )
     right_blocks = cells.select("cell", "v", "h").repartitionByRange("cell", "h").mapInPandas(
         pack(None), "cell int, m binary"
@@ -144,8 +143,7 @@ def _nearest_by_pivots(
 
     best = (
         left_blocks.join(right_blocks, "cell").select("k", "m", "other")
-        .mapInPandas(compare, f"k string, `{name}` double")
-        .groupBy("k").agg(F.min(name).alias(name))
-        .select(F.from_json("k", id_type).alias("k"), name).select("k.*", name)
+        .mapInPandas(compare, f"k long, `{name}` double")
+        .groupBy("k").agg(F.min(col(name)).alias(name)).withColumnRenamed("k", number)
     )
-    return left.join(best, list(ids), "left")
+    return left.join(best, number, "left").drop(number)

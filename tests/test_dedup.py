@@ -108,3 +108,13 @@ def test_crosstab_totals(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "s string, l string")
     got = {r["s"]: tuple(r)[1:] for r in report.crosstab(df, "s", "l").collect()}
     assert got == {"a": (1, 1, 2), "b": (1, 0, 1), "all": (2, 1, 3)}
+
+
+def test_nearest_distance_of_any_id_both_ways(spark):
+    at = "timestamp'2024-05-01 10:00:00.123456'"
+    left = spark.sql(f"""SELECT * FROM VALUES ({at}, 1, array(0D, 0D)), (null, 2, array(3D, 4D)), (null, null, array(1D, 0D)),
+        ({at}, 1, array(6D, 8D)) AS t(id, part, features)""")
+    right = spark.createDataFrame([([0.0, 0.0],), ([0.0, 1.0],)], "features array<double>")
+    small, large = (
+        sorted(map(repr, nearest_distance(left, right, ["id", "part"], broadcast_values=b).collect())) for b in (100, 1))
+    assert small == large and not any("dist=None" in r for r in small)
