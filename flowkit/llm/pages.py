@@ -2,11 +2,13 @@
 
 Markup is stripped into one line per block element. A line's weight is the length of its text; it
 is zero inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-(told by element, role, class or id), and outside the article element where the page has one.
+(told by element, role, class or id), and outside the article element where the page has one. Inside
+an article, names and roles count only where they can mean nothing but adverts, comments, navigation
+or forms, and lists of links are text.
 Weights are summed over a sliding window of lines. A region begins where the sum surges from zero
 and ends where it dives to zero; text between is kept, without the lines of weight zero. A page
-with an article keeps all its regions, as all weight lies within it; another page keeps the heaviest
-region, and text of link lists has no weight.
+with an article keeps all its regions, as all weight lies within it; another page keeps every region
+that surges to SURGE, or all regions if none does, and text of link lists has no weight.
 
 A null page is empty and gives the empty text, as does a page without text. Repeated rows give equal
 results. Pages of any length are read whole. An empty table gives no rows. Other columns are ignored.
@@ -28,8 +30,7 @@ WINDOW = 3
 SURGE = 80
 
 # HTML element names by kind.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math",
-       "object", "audio", "video", "canvas", "select", "button", "noframes", "noembed", "xmp")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "audio", "video", "canvas", "select", "button", "noframes", "noembed", "xmp")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details",
@@ -54,6 +55,15 @@ NOISE_WORDS = {
     "replies", "respond", "disqus", "skip", "toolbar", "hidden",
 }
 
+# Those of them that inside an article, too, can only be adverts, comments, navigation or forms.
+CLEAR_NOISE = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot",
+    "sponsored", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination",
+    "cookie", "cookies", "gdpr", "newsletter", "comments", "commentlist", "disqus", "form", "login",
+    "signup",
+}
+CLEAR_ROLES = {"navigation", "search", "form", "menu", "menubar", "toolbar"}
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+>.*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)"
@@ -77,20 +87,22 @@ class Line:
 
 
 def _noisy(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is not text of the page; inside an article only what is clearly not."""
     if tag in NOISY or tag == "header" and not inside:
         return True
+    words, roles = (CLEAR_NOISE, CLEAR_ROLES) if inside else (NOISE_WORDS, ROLES)
     if not attrs:
         return False
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), html.unescape("".join(values))
-        if name == "role" and value.strip().lower() in ROLES:
+        if name == "role" and value.strip().lower() in roles:
             return True
         if name == "aria-hidden" and value.strip().lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if any(w.lower() in NOISE_WORDS for w in _NAME_PART.findall(value)):
+            if any(w.lower() in words for w in _NAME_PART.findall(value)):
                 return True
     return re.search(r"(?:^|\s)hidden(?=\s|=|$)", attrs) is not None
 
@@ -167,7 +179,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     texts = [line.text() for line in lines]
     weight = np.zeros(len(lines) + window, np.int64)
     for k, (line, text) in enumerate(zip(lines, texts)):
-        links = line.linked * 2 > len(text) and (line.item or not has_article)
+        links = line.linked * 2 > len(text) and not has_article
         if not (line.quiet or links or has_article and not line.inside):
             weight[k] = len(text)
     total = np.convolve(weight, np.ones(window, np.int64))[window - 1:]
@@ -176,8 +188,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     regions = list(zip(edge[::2], edge[1::2] + window - 1))
     if not has_article and regions:
         peak = [total[a:b].max() for a, b in regions]
-        rich = [r for r, p in zip(regions, peak) if p >= surge] or regions
-        regions = [max(rich, key=lambda r: (weight[r[0]:r[1]].sum(), -r[0]))]
+        regions = [r for r, p in zip(regions, peak) if p >= surge] or regions
     kept = np.zeros(len(weight), bool)
     for a, b in regions:
         kept[a:b] = True

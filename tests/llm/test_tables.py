@@ -171,6 +171,16 @@ def test_main_text(page, text):
     assert pages.main_text(page) == text
 
 
+def test_no_region_of_text_is_lost():
+    text = "<p>" + "word " * 40 + "</p>"
+    links = "<ul>" + "<li><a href=x>A link</a></li>" * 4 + "</ul>"
+    want = " ".join(["word"] * 40)
+    assert pages.main_text(f"<body><div>{text}</div>{links}<div>{text}</div></body>") == f"{want}\n{want}"
+    article = (f"<article><header class='entry-header'><h1>Title</h1></header><p>By <math><mi>x</mi></math></p>{text}"
+               f"<div class='related-work notice'>Kept</div>{links}<div class='ads'>Buy</div></article>")
+    assert pages.main_text(article) == "\n".join(["Title", "By x", want, "Kept", *["A link"] * 4])
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGES[0][0]), (1, "u", PAGES[0][0]), (None, None, None)]
     df = spark.createDataFrame([(*r, 5) for r in rows], "page_id long, url string, html string, text int")
