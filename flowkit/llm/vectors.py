@@ -167,7 +167,10 @@ def exact_top_k(embeddings: DataFrame, every: int = 20, k: int = TOP) -> DataFra
 
 SIMILAR = 0.9
 TARGET = 0.98
+#: Vectors to fit on: at least the first number, and so many for each word.
 CODEBOOK_SAMPLE = 4096
+WORD_SAMPLE = 32
+CALIBRATION_SAMPLE = 1024
 CELL_ROWS = 200
 MOST_WORDS = 1024
 RESIDENTS = 2048
@@ -178,7 +181,8 @@ def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """Lloyd's algorithm from a farthest-first start."""
     c = spread_pivots(x, k).copy()
     for _ in range(rounds):
-        near = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        norms = (c * c).sum(1)
+        near = np.concatenate([(norms - 2 * x[a:a + 4096] @ c.T).argmin(1) for a in range(0, len(x), 4096)])
         for j in np.unique(near):
             c[j] = x[near == j].mean(0)
     return c
@@ -187,11 +191,12 @@ def k_means(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 class MultiIndex:
     """A product grid of two codebooks, one per half of the vectors."""
 
-    def __init__(self, sample: np.ndarray, words: int, similar: float, target: float) -> None:
+    def __init__(self, sample: np.ndarray, unseen: np.ndarray, words: int, similar: float, target: float) -> None:
+        """Codebooks from `sample`; the number of cells to visit from `unseen`, which has none of it."""
         self.half = sample.shape[1] // 2
         self.books = [k_means(s, words) for s in (sample[:, :self.half], sample[:, self.half:])]
         self.sizes = [len(b) for b in self.books]
-        self.visits = self._calibrate(sample, similar, target)
+        self.visits = self._calibrate(unseen, similar, target)
 
     def _distances(self, x: np.ndarray) -> list[np.ndarray]:
         parts = (x[:, :self.half], x[:, self.half:])
@@ -215,22 +220,27 @@ class MultiIndex:
         first = np.argsort(total, 1, kind="stable")[:, :n]
         return ra[np.arange(len(x))[:, None], i[first]] * self.sizes[1] + rb[np.arange(len(x))[:, None], j[first]]
 
-    def _calibrate(self, sample: np.ndarray, similar: float, target: float) -> int:
+    def _rank_of(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Cells of a smaller or equal sum of distances, besides the given one of each row, by counting."""
+        out = np.zeros(len(x), np.int64)
+        for k, (a, b) in enumerate(zip(*self._distances(x))):
+            goal = a[cells[k] // self.sizes[1]] + b[cells[k] % self.sizes[1]]
+            out[k] = np.searchsorted(np.sort(b), goal + 1e-9 - a, "right").sum() - 1
+        return out
+
+    def _calibrate(self, unseen: np.ndarray, similar: float, target: float) -> int:
         """Cells to visit so that the share `target` of pairs exactly at the threshold meets: the
-        home of one is among the cells of the other. Pairs are made from the sample by rotation."""
+        home of one is among the cells of the other. Pairs are made from the vectors by rotation."""
         n_cells = self.sizes[0] * self.sizes[1]
-        x = sample[:1024]
+        x = unseen
         if n_cells <= 2 or not len(x):
             return max(1, n_cells)
         side = np.random.default_rng(7).normal(size=x.shape)
         side -= (side * x).sum(1, keepdims=True) * x
         side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
         y = similar * x + sqrt(1 - similar * similar) * side
-        rank = np.full(len(x), n_cells)
-        for p, q in ((x, y), (y, x)):
-            hit = self.nearest_cells(p, n_cells) == self.home(q)[:, None]
-            rank = np.minimum(rank, hit.argmax(1))
-        return int(np.quantile(rank, target, method="higher")) + 1
+        rank = np.minimum(self._rank_of(x, self.home(y)), self._rank_of(y, self.home(x)))
+        return min(n_cells, int(np.quantile(rank, target, method="higher")) + 1)
 
 
 def near_duplicates(embeddings: DataFrame, similar: float = SIMILAR, target: float = TARGET) -> DataFrame:
@@ -275,10 +285,15 @@ def _meet(classes: DataFrame, n: int, dims: int, similar: float, target: float)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     words = max(1, min(MOST_WORDS, round(sqrt(n / CELL_ROWS))))
-    sample = unit(_sample(classes, "c", n, CODEBOOK_SAMPLE, dims))
+    fit = max(CODEBOOK_SAMPLE, WORD_SAMPLE * words)
+    sample = unit(_sample(classes, "c", n, fit + CALIBRATION_SAMPLE, dims))
     if not len(sample):
         sample = unit(_matrix(classes.limit(1).toArrow().column("v"), dims, np.float64))
-    shared = classes.sparkSession.sparkContext.broadcast(MultiIndex(sample, words, similar, target))
+    # few vectors are split in the same proportion; one alone is both
+    every = -(-(fit + CALIBRATION_SAMPLE) // CALIBRATION_SAMPLE)
+    apart = np.arange(len(sample)) % every == every - 1
+    seen, unseen = (sample[~apart], sample[apart]) if apart.any() else (sample, sample)
+    shared = classes.sparkSession.sparkContext.broadcast(MultiIndex(seen, unseen, words, similar, target))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -264,6 +264,23 @@ def test_near_duplicates(embeddings, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_cells_to_visit_hold_for_unseen_vectors():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4096 + 1024 + 600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.MultiIndex(x[:4096], x[4096:5120], 100, 0.9, 0.98)
+    fresh = x[5120:]
+    side = rng.normal(size=fresh.shape)
+    side -= (side * fresh).sum(1, keepdims=True) * fresh
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    other = 0.9 * fresh + np.sqrt(1 - 0.81) * side
+    met = np.zeros(len(fresh), bool)
+    for p, q in ((fresh, other), (other, fresh)):
+        met |= (index.nearest_cells(p, index.visits) == index.home(q)[:, None]).any(1)
+    print("recall", met.mean(), "cells", index.visits)
+    assert met.mean() >= 0.96
+
+
 def test_vectors_empty(spark):
     none = spark.createDataFrame([], VECTORS)
     bad = spark.createDataFrame([(0, None, 1), (20, [0.0, 0.0], 1)], VECTORS)
