@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm import katz, licenses, mixing, packing, pages, simhash, suffixes, toxicity, vectors
+from flowkit.llm import (
+    bpe, katz, licenses, mixing, packing, pages, simhash, suffixes, toxicity, turns, vectors, whitening,
+)
 from flowkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,9 +59,22 @@ def op10_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 for _query in (
     op1_retrieval_packing, op2_mixing_tree, op3_line_blocks, op4_simhash_trie, op5_toxicity_ftrl, op6_suffix_arrays,
     op7_katz_backoff, op8_pivot_top_k, op9_multi_index, op10_license_windows,
+    op11_turn_repair, op12_pair_index_bpe, op13_qd_whitening,
 ):
     QUERIES[_query.__name__] = _query
 SQL["op2_mixing_tree"] = mixing.TAKEN_SQL
