@@ -1,6 +1,6 @@
 """Byte-level BPE by a pair occurrence index, and back.
 
-A block of texts (one Arrow batch of a partition) is cut into pre-tokens; those of words that the
+A block of texts (part of an Arrow batch of a partition) is cut into pre-tokens; those of words that the
 worker has not met yet form one array of symbols. An index maps every pair with a merge rank to all
 its positions in that array. Active ranks are applied in ascending order, each to all its positions
 at once, and only the lists of the pairs next to a merged position change. A merged pair can only
@@ -22,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowkit.llm.common import tidy
 from flowkit.llm.tokens import plain_spaces
 
+BLOCK_CHARS = 4_000_000  # of texts that share an index; a longer text is a block of its own
 KNOWN_WORDS = 400_000  # words whose ids a worker keeps; a speed-up without effect on results
 LONGEST_KNOWN = 40
 
@@ -54,13 +56,15 @@ class Vocabulary:
     """Merge table, byte table and pre-tokenizer of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         ids: dict[str, int] = model["vocab"]
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("expected a byte-level vocabulary without prefix space and normalizer")
+        self.split = ByteLevel(add_prefix_space=False).pre_tokenize_str
         letters = byte_letters()
         self.letter_id = {c: ids[c] for c in letters}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -269,18 +273,44 @@ def vocabulary_of(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids binary): token ids of `text` as little-endian unsigned 32-bit integers."""
+def _text_blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of up to BLOCK_CHARS bytes of text; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_CHARS, side="right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def _mapped(docs: DataFrame, vocabulary: str | None, with_text: bool) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_of(path)
         for batch in batches:
-            ids = encode_block(v, batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for texts in _text_blocks(batch.column(1)):
+                ids = encode_block(v, texts.to_pylist())
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary())]
+                if with_text:
+                    columns.append(pa.array([decode_ids(v, raw) for raw in ids], pa.string()))
+                yield pa.record_batch(columns, ["doc_id", "ids", "text"][: len(columns)])
+                at += len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        tidy(run), f"doc_id {kind}, ids binary" + ", text string" * with_text)
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids binary): token ids of `text` as little-endian unsigned 32-bit integers."""
+    return _mapped(docs, vocabulary, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): `decode(encode(docs))` in one worker per task."""
+    return _mapped(docs, vocabulary, True)
 
 
 def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -300,6 +330,6 @@ def decode(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded again."""
-    return decode(encode(docs, vocabulary), vocabulary).select(
+    return round_trip(docs, vocabulary).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

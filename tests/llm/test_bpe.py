@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -80,9 +81,18 @@ def test_tables(spark, odd, nothing, library):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
     assert bpe.digests(nothing).collect() == []
+    assert sorted(map(repr, bpe.decode(bpe.encode(odd)).collect())) == sorted(map(repr, bpe.round_trip(odd).collect()))
     back = bpe.decode(spark.createDataFrame([(1, None)], "doc_id int, ids binary")).first()
     assert back["text"] == ""
 
 
+def test_blocks_of_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 5)
+    texts = ["ab", "cde", "f", None, "ghijklmn", "", "op"]
+    blocks = [x.to_pylist() for x in bpe._text_blocks(pa.array(texts))]
+    assert [t for block in blocks for t in block] == texts
+    assert len(blocks) > 2 and all(len(block) == 1 or sum(len(t or "") for t in block) <= 5 for block in blocks)
+
+
 def test_no_shuffle(odd):
     assert "Exchange" not in bpe.digests(odd)._jdf.queryExecution().executedPlan().toString()
