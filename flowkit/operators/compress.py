@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowkit.functions import boundary_score, col, euclidean
+from flowkit.operators import kmeans
+from flowkit.operators.cells import matrix
 from flowkit.operators.dedup import select_back
 from flowkit.operators.nearest import nearest_distance
 from flowkit.operators.ranking import exact_percentiles, hash_take, take_smallest
@@ -22,8 +25,6 @@ from flowkit.operators.sample import argmin_per_group
 from flowkit.staging import bounded, lookup, scratch, stage
 
 CENTRE_ROWS = 100_000
-MOST_SLICES = 20
-PLACE_ROWS = 1024
 SLACK = 1e-12  # relative; rounding of the interpolated percentile must not lose the row it hits
 
 
@@ -43,76 +44,56 @@ def n_clusters(
 
 
 class Centres:
-    """Cluster centres that place rows like a fitted k-means model."""
+    """Cluster centres that place rows like a fitted k-means model; `inertia` lists the passes."""
 
-    def __init__(self, centres: np.ndarray) -> None:
+    def __init__(self, centres: np.ndarray, inertia: Sequence[float] = ()) -> None:
         self.centres = np.asarray(centres, float)
+        self.inertia = list(inertia)
 
     def clusterCenters(self) -> list[np.ndarray]:
         return list(self.centres)
 
-    def place(self, vector: Column) -> Column:
-        """Number of the nearest centre."""
-        centres, square = self.centres, (self.centres ** 2).sum(1)
-
-        @F.pandas_udf("int")
-        def nearest(v: pd.Series) -> pd.Series:
-            out = np.empty(len(v), np.int32)
-            for a in range(0, len(v), PLACE_ROWS):
-                x = np.stack(v.iloc[a:a + PLACE_ROWS].to_numpy())
-                out[a:a + PLACE_ROWS] = (square - 2 * x @ centres.T).argmin(1)
-            return pd.Series(out)
-
-        return nearest(vector)
-
 
 def fit_clusters(
     df: DataFrame, k: int, ids: Sequence[str], vector: str = "features", algo: str = "minibatch",
-    batch: int = 100_000, seed: int = 42,
+    batch: int | None = None, seed: int = 42, tol: float = 0.002, most_passes: int = 10,
 ) -> Centres | KMeansModel:
-    """k-means over all rows. `minibatch` updates the centres slice by slice, `full` runs Lloyd.
+    """k-means over all rows. `minibatch` is `kmeans.fit`, `full` runs Spark's Lloyd.
 
-    The mini-batch start are `k` rows by seeded hash. Rows are dealt by hash to slices of about
-    `batch` rows, at most MOST_SLICES of them; each slice is placed by the current centres and
-    moves them by its means, weighted by all rows seen so far. Every row is used once.
+    `minibatch` seeds from a hash sample, in two levels when there are many centres, and passes
+    over all rows until the inertia falls by less than `tol`; batches are the stored blocks, so
+    `batch` has no effect.
     """
-    vectors = df.select(*[col(i) for i in ids], col(vector).cast("array<double>").alias("__v__"))
     if algo == "full":
-        rows = vectors.select(array_to_vector("__v__").alias("__v__")).persist()
+        rows = df.select(array_to_vector(col(vector).cast("array<double>")).alias("__v__")).persist()
         try:
             return KMeans(
                 k=k, seed=seed, initMode="k-means||", featuresCol="__v__", predictionCol="cluster"
             ).fit(rows)
         finally:
             rows.unpersist()
-    with scratch(df.sparkSession):
-        rows = stage(vectors)
-        start = np.array([r[0] for r in hash_take(rows, [], ids, seed, k).select("__v__").collect()], float)
-        model, seen = Centres(start), np.zeros(len(start))
-        slices = max(1, min(MOST_SLICES, math.ceil(rows.count() / batch)))
-        dealt = F.pmod(F.xxhash64(*[col(i) for i in ids], F.lit(seed)), F.lit(slices))
-        sums = [F.sum(F.col("__v__")[d]).alias(f"s{d}") for d in range(start.shape[1] if len(start) else 0)]
-        for turn in range(slices if len(start) else 0):
-            placed = rows.where(dealt == turn).withColumn("cluster", model.place(F.col("__v__")))
-            for r in placed.groupBy("cluster").agg(F.count("*").alias("n"), *sums).collect():
-                c, n = r["cluster"], r["n"]
-                seen[c] += n
-                model.centres[c] += (np.array(r[2:], float) - n * model.centres[c]) / seen[c]
-    return model
+    found = kmeans.fit(df, k, ids, vector, seed, tol, most_passes)
+    return Centres(found.centres, found.inertia)
 
 
 def assign_clusters(
     df: DataFrame, model: Centres | KMeansModel, vector: str = "features"
 ) -> DataFrame:
     """Add `cluster` and `dist`, the distance to the own centre."""
-    spark = df.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster int, centre array<double>",
-    )
-    placed = df.withColumn(
-        "cluster", Centres(np.array(model.clusterCenters())).place(col(vector).cast("array<double>")))
-    return distance_to_center(placed, centres, vector=vector)
+    centres = np.array(model.clusterCenters(), float)
+    shared = df.sparkSession.sparkContext.broadcast(kmeans.Finder(centres) if len(centres) else None)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, square = shared.value(matrix(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(number.astype(np.int32)), pa.array(np.sqrt(square))],
+                names=[*batch.schema.names[:-1], "cluster", "dist"])
+
+    kept = df.drop("cluster", "dist")
+    schema = T.StructType([
+        *kept.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    return kept.withColumn("__v__", col(vector).cast("array<double>")).mapInArrow(place, schema)
 
 
 def group_centers(

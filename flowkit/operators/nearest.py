@@ -1,47 +1,28 @@
-"""Nearest-neighbour distance between two row sets, exact at any size."""
+"""Nearest-neighbour distance between two row sets, exact at any size.
+
+Both ways search in two steps: the own cell of a row gives a distance, and only cells that the
+triangle inequality leaves below it are visited then (see `cells`).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowkit.functions import col, order_hash
+from flowkit.operators.cells import CellIndex, CellTree, improve, matrix, runs
 from flowkit.operators.ranking import hash_take
-from flowkit.staging import stage
-
-BROADCAST_VALUES = 32_000_000  # 256 MB of doubles
-PIVOTS = 256
-CHUNK = 1024
-PACKED = 256  # rows per travelling block
-
-
-def _matrix(vectors) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in vectors], dtype=float)
-
+from flowkit.staging import lookup, stage
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
-
-
-def _closest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each row of `a` to its nearest row of `b`, block by block."""
-    out = np.full(len(a), np.inf)
-    for i in range(0, len(a), CHUNK):
-        part = a[i : i + CHUNK]
-        for j in range(0, len(b), 8 * CHUNK):
-            block = b[j : j + 8 * CHUNK]
-            # the expanded square picks the neighbour, the plain difference gives its distance
-            best = block[_squared(part, block).argmin(1)]
-            out[i : i + CHUNK] = np.minimum(
-                out[i : i + CHUNK], np.sqrt(((part - best) ** 2).sum(1))
-            )
-    return out
+BROADCAST_VALUES = 8_000_000  # 64 MB of doubles: right sides that travel whole, and centres of cells
+CELL_ROWS = 1024  # right rows a cell holds on average
+PACKED = 1024  # left rows per travelling block
+BLOCKS = 16  # left blocks of a cell that meet it in one task
 
 
 def nearest_distance(
@@ -50,100 +31,165 @@ def nearest_distance(
 ) -> DataFrame:
     """Add to each left row the Euclidean distance to its nearest right row.
 
-    A right side within the size bound is sent to every task; a larger one is partitioned by
-    pivots, see `_nearest_by_pivots`. Without right rows the distance is null.
+    A right side within the size bound is sent to every task as an index of cells; a larger one
+    is partitioned by cells, see `_nearest_by_cells`. Without right rows the distance is null.
     """
     probe = right.select(F.size(col(vector)).alias("d")).first()
     if probe is None:
         return left.withColumn(name, F.lit(None).cast("double"))
     if right.count() * max(1, probe["d"]) > broadcast_values:
-        return _nearest_by_pivots(left, right, vector, name)
-    rows = right.select(col(vector)).toArrow()
-    block = left.sparkSession.sparkContext.broadcast(_matrix(rows.column(0).to_pylist()))
+        return _nearest_by_cells(left, right, vector, name, broadcast_values)
+    rows = right.select(col(vector).cast("array<double>").alias("v")).distinct().toArrow()
+    index = left.sparkSession.sparkContext.broadcast(CellIndex(matrix(rows.column("v"))))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[name] = _closest(_matrix(pdf[vector]), block.value) if len(pdf) else 0.0
-            yield pdf
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(batch.column(batch.num_columns - 1))
+            near = index.value.nearest(rows) if len(rows) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(near)], names=[*batch.schema.names[:-1], name])
 
     schema = T.StructType([*left.schema.fields, T.StructField(name, T.DoubleType())])
-    return left.mapInPandas(score, schema)
+    return left.withColumn("__v__", col(vector).cast("array<double>")).mapInArrow(score, schema)
+
+
+def _pack(key: str | None, rows: int):
+    """Blocks of up to `rows` neighbouring rows of one cell: (cell, m bytes, and k bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, v = batch.column("cell").to_numpy(), matrix(batch.column("v"))
+            keys = batch.column(key).to_numpy() if key else None
+            out = [(c, i, min(i + rows, b)) for c, a, b in runs(cell) for i in range(a, b, rows)]
+            columns = {
+                "cell": pa.array([c for c, _, _ in out], pa.int32()),
+                "m": pa.array([v[a:b].tobytes() for _, a, b in out], pa.binary()),
+            }
+            if key:
+                columns["k"] = pa.array([keys[a:b].tobytes() for _, a, b in out], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
+    return run
 
-def _nearest_by_pivots(
-    left: DataFrame, right: DataFrame, vector: str, name: str
+
+def _salted(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks with a `salt`, number of salts per cell): a cell with many blocks gets several tasks."""
+    counts = blocks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCKS).cast("int").alias("salts"))
+    counts = stage(counts)
+    hot = counts.where("salts > 1")
+    marked = lookup(blocks, hot, ["cell"], "left")
+    salt = F.pmod(F.xxhash64("m"), F.coalesce("salts", F.lit(1))).cast("int")
+    return marked.withColumn("salt", salt).drop("salts"), counts
+
+
+def _meet(left_blocks: DataFrame, right_blocks: DataFrame, run, schema: str) -> DataFrame:
+    """Each group of left blocks of a cell with the right blocks of the cell."""
+    left, counts = _salted(left_blocks)
+    copies = right_blocks.join(counts, "cell").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInArrow(run, schema)
+
+
+def _nearest_by_cells(
+    left: DataFrame, right: DataFrame, vector: str, name: str, broadcast_values: int
 ) -> DataFrame:
-    """Exact nearest distance as an equi-join on pivot cells.
+    """Exact nearest distance with both sides partitioned by cells.
 
-    Some right rows are pivots; each right row belongs to the cell of its nearest pivot. The
-    nearest pivot bounds a left row's distance from above; cells that the triangle inequality
-    rules out are not visited. Rows travel in blocks of bounded size, and a hot cell is just many
-    blocks, which the join may split.
+    Some right rows are centres, about one for CELL_ROWS rows while the centres stay within the
+    size bound; each right row belongs to a near centre. A left row meets the cell of its own near
+    centre first. The distance found there bounds the cells it has to visit: those whose centre is
+    closer than distance plus radius. Left rows travel in blocks of bounded size; a cell that many
+    left rows visit is copied to several tasks.
     """
     spark = left.sparkSession
     # copies of a vector do not change a distance
     right = right.select(col(vector).cast("array<double>").alias("v")).distinct()
     right = stage(right.withColumn("h", order_hash(0, [F.xxhash64("v")])))
-    pivots = hash_take(right, [], ["h"], 0, PIVOTS)
-    centre = spark.sparkContext.broadcast(_matrix(r["v"] for r in pivots.collect()))
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = np.sqrt(_squared(_matrix(pdf["v"]), centre.value))
-                yield pdf.assign(cell=d.argmin(1).astype("int32"), r=d.min(1))
-
-    cells = stage(right.mapInPandas(to_cells, "v array<double>, h string, cell int, r double"))
-    radius = np.full(len(centre.value), -np.inf)
-    for r in cells.groupBy("cell").agg(F.max("r").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
+    dim = len(right.first()["v"])
+    most = max(1, broadcast_values // max(1, dim))
+    n_cells = int(np.clip(right.count() // CELL_ROWS, 1, most))
+    centres = hash_take(right, [], ["h"], 0, n_cells).select("v", "h").toArrow().sort_by("h")
+    tree = CellTree(matrix(centres.column("v")))
+    shared = spark.sparkContext.broadcast(tree)
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, r, up = shared.value.place(matrix(batch.column("v")))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(r), pa.array(up)],
+                names=[*batch.schema.names, "cell", "r", "up"])
+
+    placed = stage(right.mapInArrow(to_cells, "v array<double>, h string, cell int, r double, up double"))
+    radii = placed.groupBy("cell").agg(F.max("r").alias("r"), F.max("up").alias("up")).toArrow()
+    tree.set_radii(*(radii.column(c).to_numpy() for c in ("cell", "r", "up")))
+    shared = spark.sparkContext.broadcast(tree)
+    right_blocks = stage(
+        placed.select("cell", "v", "h").repartitionByRange("cell", "h").sortWithinPartitions("cell")
+        .mapInArrow(_pack(None, CELL_ROWS), "cell int, m binary"))
 
     # a row number travels instead of the ids, which may be null, repeated or of any type
     number = "__left__"
     left = stage(left.withColumn(number, F.monotonically_increasing_id()))
     keys = left.select(F.col(number).alias("k"), col(vector).cast("array<double>").alias("v"))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = np.sqrt(_squared(_matrix(pdf["v"]), centre.value))
-            slack = 1e-9 * (1.0 + d)  # rounding must never rule out a cell
-            row, cell = np.nonzero(d - radius[None, :] - slack <= d.min(1)[:, None])
-            out = pdf.iloc[row].reset_index(drop=True)
-            yield out.assign(cell=cell.astype("int32"))
-
-    def pack(key: str | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for cell, group in pdf.groupby("cell", sort=False):
-                    for i in range(0, len(group), PACKED):
-                        part = group.iloc[i : i + PACKED]
-                        row = {"cell": [cell], "m": [_matrix(part["v"]).tobytes()]}
-                        if key:
-                            row["k"] = [part[key].tolist()]
-                        yield pd.DataFrame(row)
-
-        return run
-
-    visits = keys.mapInPandas(visit, "k long, v array<double>, cell int")
-    left_blocks = visits.repartitionByRange(F.col("cell"), F.xxhash64("k")).mapInPandas(
-        pack("k"), "cell int, m binary, k array<long>"
-    )
-    right_blocks = cells.select("cell", "v", "h").repartitionByRange("cell", "h").mapInPandas(
-        pack(None), "cell int, m binary"
-    ).withColumnRenamed("m", "other")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, a, b in zip(pdf["k"], pdf["m"], pdf["other"]):
-                dim = centre.value.shape[1]
-                x, y = np.frombuffer(a).reshape(-1, dim), np.frombuffer(b).reshape(-1, dim)
-                yield pd.DataFrame({"k": list(k), name: _closest(x, y)})
+    def own_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, _, _ = shared.value.place(matrix(batch.column("v")))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32))], names=["k", "v", "cell"])
+
+    left_blocks = stage(
+        keys.mapInArrow(own_cell, "k long, v array<double>, cell int")
+        .repartitionByRange(F.col("cell"), F.xxhash64("k")).sortWithinPartitions("cell")
+        .mapInArrow(_pack("k", PACKED), "cell int, m binary, k binary"))
+
+    def rows_of(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, dim)
+
+    def first_visit(near: pa.Table, members: pa.Table) -> pa.Table:
+        """The distance within the own cell, and blocks for the cells still open (cell -1: none)."""
+        cells, ks, bests, ms = [], [], [], []
+        other = rows_of(members.column("m"))
+        for m, k in zip(near.column("m").to_pylist(), near.column("k").to_pylist()):
+            x, k = np.frombuffer(m).reshape(-1, dim), np.frombuffer(k, np.int64)
+            best = np.full(len(x), np.inf)
+            improve(x, best, other)
+            own = near.column("cell")[0].as_py()
+            row, cell = shared.value.within(x, best)
+            order = np.argsort(cell, kind="stable")
+            row, cell = row[order], cell[order]
+            blocks = [(-1, np.arange(len(x)))] + [(c, row[a:b]) for c, a, b in runs(cell) if c != own]
+            for c, at in blocks:
+                cells.append(c)
+                ks.append(k[at].tobytes())
+                bests.append(best[at].tobytes())
+                ms.append(x[at].tobytes() if c >= 0 else None)
+        return pa.table({"cell": pa.array(cells, pa.int32()), "k": pa.array(ks, pa.binary()),
+                         "best": pa.array(bests, pa.binary()), "m": pa.array(ms, pa.binary())})
+
+    seen = stage(_meet(left_blocks, right_blocks, first_visit, "cell int, k binary, best binary, m binary"))
+
+    def next_visit(near: pa.Table, members: pa.Table) -> pa.Table:
+        ks, bests = [], []
+        other = rows_of(members.column("m"))
+        for m, k, best in zip(*(near.column(c).to_pylist() for c in ("m", "k", "best"))):
+            now = np.frombuffer(best).copy()
+            improve(np.frombuffer(m).reshape(-1, dim), now, other)
+            ks.append(k)
+            bests.append(now.tobytes())
+        return pa.table({"k": pa.array(ks, pa.binary()), "best": pa.array(bests, pa.binary())})
+
+    later = _meet(seen.where("cell >= 0"), right_blocks, next_visit, "k binary, best binary")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.frombuffer(b"".join(batch.column("k").to_pylist()), np.int64)
+            best = np.frombuffer(b"".join(batch.column("best").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(best)], names=["k", name])
 
     best = (
-        left_blocks.join(right_blocks, "cell").select("k", "m", "other")
-        .mapInPandas(compare, f"k long, `{name}` double")
+        seen.where("cell < 0").select("k", "best").unionByName(later)
+        .mapInArrow(spread, f"k long, `{name}` double")
         .groupBy("k").agg(F.min(col(name)).alias(name)).withColumnRenamed("k", number)
     )
     return left.join(best, number, "left").drop(number)
