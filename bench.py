@@ -32,6 +32,7 @@ HEADLINE = [
     "e13_encode_majority",
     "e15_prepare_training",
     "k2_fit_clusters_flows",
+    "k2_many_clusters",
     "k3_distance_to_center",
     "k7_compress_diverse",
     "k10_density_filter_flows",
@@ -52,6 +53,7 @@ MAIN_TABLE = {
     "w4_shuffle": "lineitem",
     "k10_density_filter_flows": "lineitem",
     "k2_fit_clusters_flows": "lineitem",
+    "k2_many_clusters": "lineitem",
     "e3_standardize": "lineitem",
     "j1_clean_table": "events",
     "m11_ensemble_asr": "orders",

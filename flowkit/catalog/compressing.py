@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,11 @@ from flowkit.catalog.registry import query
 from flowkit.catalog.sampling import VEC_HASH, placed
 from flowkit.catalog.standins import FLOWS, IDS, VECTORS, flows, vectors
 from flowkit.operators import compress
+from flowkit.operators.cells import matrix, squared
+from flowkit.operators.farthest import KEPT
+from flowkit.operators.nearest import nearest_distance
 from flowkit.operators.ranking import hash_take
+from flowkit.staging import stage
 
 ID = ["vec_id"]
 
@@ -150,6 +155,43 @@ def k9(spark: SparkSession, d: str) -> DataFrame:
     return compress.compress_labels(rows, {"a": 40, "b": 60}, ID).select("vec_id", "Label")
 
 
+@query("k9_rows_per_label", f"""WITH {VECTORS}
+SELECT "Label", least(count(*), max(budget))::BIGINT AS rows FROM vectors
+JOIN (VALUES ('a', 40), ('b', 60)) AS b(l, budget) ON l = "Label" GROUP BY "Label" """)
+def k9_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors(spark, d).drop("cluster")
+    kept = compress.compress_labels(rows, {"a": 40, "b": 60}, ID)
+    return kept.groupBy("Label").agg(F.countDistinct("vec_id").alias("rows"))
+
+
+@query("k2_fit_report", f"""WITH {FLOWS}
+SELECT count(*) AS rows, 12::BIGINT AS clusters, true AS falling, true AS at_rest, true AS near_full FROM flows""")
+def k2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the passes lower the inertia, end at rest, and come within 5 % of full k-means."""
+    rows = stage(flows(spark, d).select(*IDS, F.array("quantity", "discount", "tax").alias("features")))
+    square = F.sum(F.col("dist") * F.col("dist"))
+    model = compress.fit_clusters(rows, 12, IDS)
+    placed = compress.assign_clusters(rows, model).agg(
+        F.count("*").alias("rows"), F.countDistinct("cluster").alias("clusters"), square.alias("inertia")).first()
+    full = compress.assign_clusters(rows, compress.fit_clusters(rows, 12, IDS, algo="full")).agg(square).first()[0]
+    steps = list(zip(model.inertia, model.inertia[1:]))
+    out = (placed["rows"], placed["clusters"], all(b <= a * (1 + 1e-9) for a, b in steps),
+           steps[-1][0] - steps[-1][1] <= 0.002 * steps[-1][0], placed["inertia"] <= 1.05 * full)
+    return spark.createDataFrame([out], "rows long, clusters long, falling boolean, at_rest boolean, near_full boolean")
+
+
+@query("k2_many_clusters", f"""WITH {FLOWS}
+SELECT count(*) AS rows, 1500::BIGINT AS centres, true AS nearest FROM flows""")
+def k2_many(spark: SparkSession, d: str) -> DataFrame:
+    """1500 clusters of all flow rows: seeds in two levels; every row is placed, and the placing has
+    the inertia that the fit ended with, or less."""
+    rows = flows(spark, d).select(*IDS, F.array("quantity", F.col("price") / 2000, F.col("discount") * 500, F.col("tax") * 600).alias("features"))
+    model = compress.fit_clusters(rows, 1500, IDS)
+    return compress.assign_clusters(rows, model).agg(
+        F.count("*").alias("rows"), F.lit(len(model.clusterCenters())).cast("long").alias("centres"),
+        (F.sum(F.col("dist") * F.col("dist")) <= model.inertia[-1] * 1.0001).alias("nearest"))
+
+
 @query("k10_density_filter", f"""WITH {VECTORS}, s AS (
   SELECT cluster, count(*) AS size, count(*) <= ceil((SELECT count(*) FROM placed) * 0.1::DOUBLE) AS small
   FROM placed GROUP BY cluster), e AS ({_edge('cluster', 0.92)}),
@@ -203,6 +245,25 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("k13_coreset_farthest", f"""WITH {VECTORS}, {SCORED}, {PINS},
+others AS (SELECT vec_id FROM scored WHERE vec_id NOT IN (SELECT vec_id FROM pins))
+SELECT vec_id AS pin, 1::BIGINT AS rows, true AS covered FROM pins
+UNION ALL SELECT -1, least(count(*), 70), true FROM others""")
+def k13_farthest(spark: SparkSession, d: str) -> DataFrame:
+    """The pins, the number of other rows (pin -1), and whether no row is farther from the core-set than the
+    distances inside it allow for about twice the best radius."""
+    rows = scored(spark, d)
+    core = stage(compress.coreset(rows, compress.pin_boundary(rows, 100, ID), 100, ID, algo="farthest"))
+    near = nearest_distance(rows.select("vec_id", "features"), core, ID, name="reach")
+    reach = near.agg(F.max("reach")).first()[0]
+    few = core.select("pinned", "features").toArrow()  # as many rows as the budget
+    x, pinned = matrix(few.column("features")), few.column("pinned").to_numpy()
+    apart = np.sqrt(squared(x, x) + np.diag(np.full(len(x), np.inf)))
+    covered = bool(reach <= apart[~pinned].min() / KEPT + 1e-9)
+    return core.groupBy(F.when(F.col("pinned"), F.col("vec_id")).otherwise(-1).alias("pin")).agg(
+        F.count("*").alias("rows"), F.lit(covered).alias("covered"))
+
+
 @query("k14_coreset_quality", f"""WITH {VECTORS}, {SCORED}, {PINS},
 more AS (SELECT * FROM scored ORDER BY md5(concat_ws('|', '7', vec_id)) LIMIT 40),
 core AS (SELECT *, true AS pinned FROM pins UNION ALL

@@ -40,3 +40,13 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
     name = f"label_counts_{uuid.uuid4().hex}"
     stream.running_label_counts(_arriving(spark, d), "event_type", name).awaitTermination()
     return spark.table(name)
+
+
+@query("l2_merged_label_counts", """SELECT event_type, count(*) AS rows FROM events GROUP BY event_type""")
+def l2_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts in a table that survives the driver; the second run finds nothing new."""
+    base = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stream.merge_label_counts(
+            _arriving(spark, d), "event_type", f"{base}/out", f"{base}/log").awaitTermination()
+    return stream.read_label_counts(spark, f"{base}/out")

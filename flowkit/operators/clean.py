@@ -265,8 +265,9 @@ def clean_rows(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     return typed.where((col(spec.label) != "Label") & _usable(typed))
 
 
-def cleaning_report(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """One row: rows read, dropped as header / bad / negative / duplicate, and left."""
+def cleaned_groups(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Distinct rows that cleaning keeps, with `__fate__` kept and their number `__c__`; rows that it
+    drops only as one row per fate (header, bad, negative)."""
     typed = strip_label(coerce_types(select_features(df, spec), spec), spec.label)
     header = F.coalesce(col(spec.label) == "Label", F.lit(False))
     bad, negative = _missing_or_inf(typed), ~_not_negative(typed)
@@ -275,10 +276,18 @@ def cleaning_report(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     )
     # kept rows are grouped by content; dropped ones only by their fate
     content = [F.when(F.col("__fate__") == "kept", col(c)).alias(c) for c in typed.columns]
-    groups = typed.withColumn("__fate__", fate).groupBy("__fate__", *content).agg(
+    return typed.withColumn("__fate__", fate).groupBy("__fate__", *content).agg(
         F.count("*").alias("__c__")
     )
 
+
+def cleaning_report(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """One row: rows read, dropped as header / bad / negative / duplicate, and left."""
+    return groups_report(cleaned_groups(df, spec), spec)
+
+
+def groups_report(groups: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """The cleaning report of `cleaned_groups`."""
     def rows(name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("__fate__") == name, F.col("__c__"))), F.lit(0))
 

@@ -19,6 +19,7 @@ from flowkit.functions import boundary_score, col, euclidean
 from flowkit.operators import kmeans
 from flowkit.operators.cells import matrix
 from flowkit.operators.dedup import select_back
+from flowkit.operators.farthest import farthest_first, numbered
 from flowkit.operators.nearest import nearest_distance
 from flowkit.operators.ranking import exact_percentiles, hash_take, take_smallest
 from flowkit.operators.sample import argmin_per_group
@@ -328,8 +329,14 @@ def coreset(
     df: DataFrame, pins: DataFrame, budget: int, ids: Sequence[str], vector: str = "features",
     algo: str = "minibatch", seed: int = 42,
 ) -> DataFrame:
-    """Pins plus one representative for each of `budget - pins` clusters of the other rows."""
+    """Pins plus one representative for each of `budget - pins` clusters of the other rows.
+
+    With `algo="farthest"` the others are chosen farthest-first around the pins (see `farthest`):
+    exactly `budget` rows, if there are so many.
+    """
     pins, id_cols = stage(pins.select(*[col(i) for i in ids])), list(ids)
+    if algo == "farthest":
+        return _coreset_farthest(df, pins, budget, id_cols, vector, seed)
     rest = stage(df.join(pins, id_cols, "left_anti"))
     k = n_clusters(rest.count(), budget - pins.count(), "core")
     placed = assign_clusters(
@@ -343,6 +350,24 @@ def coreset(
     return df.join(picked, id_cols)
 
 
+def _coreset_farthest(
+    df: DataFrame, pins: DataFrame, budget: int, ids: list[str], vector: str, seed: int
+) -> DataFrame:
+    rows = stage(numbered(df, col(vector)))
+    first = matrix(rows.join(pins, ids, "left_semi").select("__v__").toArrow().column(0))
+    rest = stage(rows.join(pins, ids, "left_anti"))
+    need = budget - pins.count()
+    numbers, _ = farthest_first(rest.select(F.col("__k__").alias("k"), F.col("__v__").alias("v")), first, need)
+    picked = df.sparkSession.createDataFrame(
+        pa.table({"__k__": pa.array(numbers, pa.int64())}), "__k__ long")
+    others = lookup(rest, picked, ["__k__"])
+    if len(numbers) < need:  # the remaining rows repeat chosen vectors
+        more = rest.join(picked, "__k__", "left_anti")
+        others = others.unionByName(hash_take(more, [], ids, seed, need - len(numbers)))
+    return rows.join(pins, ids, "left_semi").withColumn("pinned", F.lit(True)).unionByName(
+        others.withColumn("pinned", F.lit(False))).drop("__k__", "__v__")
+
+
 def coreset_quality(
     full: DataFrame, core: DataFrame, ids: Sequence[str], vector: str = "features",
     cluster: str = "cluster", score: str = "boundary_score",

@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from flowkit.functions import col
 from flowkit.operators.cells import CellIndex, matrix, nearest_centre, runs
+from flowkit.operators.sums import add_payloads
 from flowkit.staging import scratch, stage
 
 BLOCK_VALUES = 1 << 17  # numbers per stored block
 DIRECT_SEEDS = 256  # up to so many centres are seeded from one sample
 SAMPLE_ROWS = 20_000  # rows of that sample, and of the one the coarse cells come from
 ROWS_PER_SEED = 24  # sampled rows per seed inside a coarse cell
-LOCAL_PASSES = 5
+LOCAL_PASSES = 5  # over the sample of a coarse cell
+TRIES, TRY_PASSES = 6, 30  # of seeding from one sample: the best try counts, each until it rests
 FIRST_SHARE = 1 / 16  # of the rows in the first pass; the share doubles until it is all of them
 PART = 256  # centres whose sums travel together
 INDEXED = 4096  # from so many centres on, rows find theirs through cells of centres
@@ -55,8 +57,14 @@ class Finder:
         return number, distance * distance
 
 
-def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeds, then a few passes over `x`; repeated rows fill up where too few differ."""
+def best_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """The best of several tries of `spread_seeds`."""
+    tries = [spread_seeds(x, k, rng, TRY_PASSES) for _ in range(TRIES)]
+    return min(tries, key=lambda c: (nearest_centre(x, c)[1] ** 2).sum())
+
+
+def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator, passes: int = LOCAL_PASSES) -> np.ndarray:
+    """k-means++ seeds, then passes over `x`; repeated rows fill up where too few differ."""
     seeds = [x[rng.integers(len(x))]]
     open_ = ((x - seeds[0]) ** 2).sum(1)
     while len(seeds) < k:
@@ -65,8 +73,13 @@ def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         seeds.append(x[min(at, len(x) - 1)])
         np.minimum(open_, ((x - seeds[-1]) ** 2).sum(1), out=open_)
     centres = np.array(seeds)
-    for _ in range(LOCAL_PASSES):
-        number, _ = nearest_centre(x, centres)
+    last = np.inf
+    for _ in range(passes):
+        number, distance = nearest_centre(x, centres)
+        now = (distance * distance).sum()
+        if last - now <= 1e-4 * now:
+            break
+        last = now
         n, sums = _sums(x, number, k)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return centres
@@ -117,6 +130,9 @@ def fit(df: DataFrame, k: int, ids: Sequence[str], vector: str, seed: int = 42,
 
 def _fit(rows: DataFrame, k: int, seed: int, tol: float, most_passes: int) -> Fit:
     rng = np.random.default_rng(seed)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # few input files must not keep the passes to few tasks
+        rows = rows.repartition(cores)
     blocks = stage(rows.mapInArrow(_blocks, "dim int, n long, m binary, h binary"))
     n = blocks.agg(F.sum("n")).first()[0] or 0
     if not n:
@@ -124,7 +140,7 @@ def _fit(rows: DataFrame, k: int, seed: int, tol: float, most_passes: int) -> Fi
     wanted = max(SAMPLE_ROWS, ROWS_PER_SEED * min(k, DIRECT_SEEDS))
     sample = _sample(blocks, wanted / n, seed)
     if k <= DIRECT_SEEDS or len(sample) == n:
-        result = Fit(spread_seeds(sample, k, rng))
+        result = Fit(best_seeds(sample, k, rng))
     else:
         coarse = spread_seeds(sample, int(np.ceil(np.sqrt(k))), rng)
         result = Fit(_seeds_in_cells(blocks, coarse, k, n, seed))
@@ -250,16 +266,11 @@ def _pass(blocks: DataFrame, centres: np.ndarray, share: float = 1.0) -> tuple[n
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part // PART], pa.int32()), "m": pa.array([own.tobytes()], pa.binary())})
 
-    def add(group: pa.Table) -> pa.Table:
-        total = 0.0
-        for m in group.column("m"):
-            total = total + np.frombuffer(m.as_buffer())
-        return pa.table({"part": group.column("part").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
-
-    got = blocks.mapInArrow(run, "part int, m binary").groupBy("part").applyInArrow(add, "part int, m binary").toArrow()
+    got = add_payloads(
+        blocks.mapInArrow(run, "part int, m binary"), blocks.rdd.getNumPartitions() * k * (dim + 2))
     out, inertia = centres.copy(), 0.0
-    for part, m in zip(got.column("part").to_pylist(), got.column("m").to_pylist()):
-        total = np.frombuffer(m).reshape(-1, dim + 2)
+    for part, total in got.items():
+        total = total.reshape(-1, dim + 2)
         own = out[part * PART:part * PART + PART]
         some = total[:, dim] > 0
         own[some] = total[some, :dim] / total[some, dim, None]

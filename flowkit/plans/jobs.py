@@ -34,12 +34,17 @@ def clean_flows(
 
 
 def clean_table(df: DataFrame, spec: DatasetSpec, out: str | None = None) -> Cleaned:
-    """The cleaning chain on a table that is already loaded."""
-    rows = dedup.dedup(clean.clean_rows(df, spec))
-    if out is not None:
-        tables.write_by_label(rows, out, spec.label)
-        rows = df.sparkSession.read.parquet(out).drop("label_safe")
-    return Cleaned(rows, clean.cleaning_report(df, spec))
+    """The cleaning chain on a table that is already loaded.
+
+    With `out`, the input is scanned and grouped once: the distinct rows are written with their
+    numbers, and both the table by label and the report come from them.
+    """
+    if out is None:
+        return Cleaned(dedup.dedup(clean.clean_rows(df, spec)), clean.cleaning_report(df, spec))
+    groups = stage(clean.cleaned_groups(df, spec))
+    tables.write_by_label(groups.where("__fate__ = 'kept'").drop("__fate__", "__c__"), out, spec.label)
+    rows = df.sparkSession.read.parquet(out).drop("label_safe")
+    return Cleaned(rows, clean.groups_report(groups, spec))
 
 
 def clean_headerless(

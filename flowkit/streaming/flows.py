@@ -56,3 +56,38 @@ def running_label_counts(
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def merge_label_counts(
+    source: DataFrame, label: str, out: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Row counts per label in a table in `out`, brought forward by every batch of files.
+
+    Batch n adds its counts to the totals of batch n - 1 and writes `v=n`. A batch that is run again
+    after a failure reads the same totals and replaces its own folder, so every file counts once;
+    the totals before the last two are removed. Null labels are counted as a label.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        counts = batch.groupBy(col(label)).agg(F.count("*").alias("rows"))
+        if number > 0:
+            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{out}/v={number - 1}"))
+        totals = counts.groupBy(col(label)).agg(F.sum("rows").alias("rows"))
+        totals.write.mode("overwrite").parquet(f"{out}/v={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_label_counts(spark: SparkSession, out: str) -> DataFrame | None:
+    """The newest complete totals, or None before the first batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    done = [p for p in (s.getPath() for s in files.listStatus(folder))
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    newest = max((int(p.getName().split("=")[1]) for p in done), default=None)
+    return None if newest is None else spark.read.parquet(f"{out}/v={newest}")

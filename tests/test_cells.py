@@ -109,3 +109,29 @@ def test_seeds_are_dealt_by_inertia():
     got = kmeans.share_seeds(np.array([100, 5000, 3, 0]), np.array([10.0, 1000.0, 0.0, 0.0]), 40)
     assert got.sum() == 40 and got[1] > got[0] >= 1 and got[2] >= 1 and got[3] == 0
     assert kmeans.share_seeds(np.array([2, 3]), np.array([1.0, 1.0]), 5).tolist() == [2, 3]
+
+
+def test_farthest_first_covers_like_the_greedy_choice(spark, monkeypatch):
+    from flowkit.operators import farthest
+
+    monkeypatch.setattr(farthest, "PROPOSALS", 5)
+    x = flow_like(900, 21, 6, 25)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    pins = rows.where("id < 6")
+    core = compress.coreset(rows, pins, 40, ["id"], algo="farthest").toPandas()
+    assert len(core) == 40 and set(core.id[core.pinned]) == set(range(6)) and core.id.is_unique
+    d = brute(x, x[:6]).min(1)
+    for _ in range(34):
+        d = np.minimum(d, brute(x, x[[d.argmax()]])[:, 0])
+    mine = brute(x, np.stack(core.features)).min(1).max()
+    assert mine <= 2 * d.max()
+    apart = brute(np.stack(core.features[~core.pinned]), np.stack(core.features))
+    assert mine <= np.sort(apart, 1)[:, 1].min() / farthest.KEPT + 1e-9
+
+
+def test_farthest_first_fills_up_with_repeated_rows(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(30)], "id int, features array<double>")
+    core = compress.coreset(rows, rows.where("id = 0"), 8, ["id"], algo="farthest")
+    assert core.count() == 8 and core.select("features").distinct().count() == 3
+    none = compress.coreset(rows, rows.where("id < 0"), 4, ["id"], algo="farthest")
+    assert none.count() == 4 and none.where("pinned").count() == 0

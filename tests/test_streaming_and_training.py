@@ -31,6 +31,25 @@ def test_running_counts(spark, tmp_path):
     assert {r["Label"]: r["rows"] for r in spark.table("t_counts").collect()} == {"a": 5, "b": 4}
 
 
+def test_merged_counts_survive_a_stop_and_a_batch_run_twice(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    assert stream.read_label_counts(spark, out) is None
+    want: dict = {}
+    for turn in range(3):
+        rows = [(i, ["a", "b", None][(i + turn) % 3]) for i in range(10)]
+        for _, x in rows:
+            want[x] = want.get(x, 0) + 1
+        spark.createDataFrame(rows, "id int, Label string").repartition(2).write.mode("append").parquet(src)
+        source = stream.read_stream(spark, src, spark.read.parquet(src).schema, files_per_trigger=1)
+        stream.merge_label_counts(source, "Label", out, log).awaitTermination()
+        if turn == 1:  # as if the last batch had written its table, but not its commit
+            commits = sorted((tmp_path / "log" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+            commits[-1].unlink()
+            (tmp_path / "log" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+        got = {r["Label"]: r["rows"] for r in stream.read_label_counts(spark, out).collect()}
+        assert got == want
+
+
 @pytest.fixture(scope="module")
 def xy(spark):
     rows = [(i, [float(i % 30), float((i * 7) % 11)], 0 if i % 30 < 10 else 1 if i % 30 < 20 else 2) for i in range(240)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from flowkit.catalog.jobs import SPLIT_SPEC  # noqa: E402
 from flowkit.catalog.standins import flows  # noqa: E402
-from flowkit.operators import clean, compress, dedup, sample  # noqa: E402
+from flowkit.operators import clean, compress, dedup, nearest, sample  # noqa: E402
 from flowkit.session import local_session  # noqa: E402
 from flowkit.staging import stage  # noqa: E402
 
@@ -58,6 +58,10 @@ def main() -> None:
     timed("compress to 28,000", lambda: compress.compress(
         placed.withColumn("Label", F.lit("Benign")), 28_000, ids
     ))
+    timed("k-means, k = 1500, and placing", lambda: compress.assign_clusters(
+        vectors, compress.fit_clusters(vectors, 1500, ids)))
+    few = vectors.where("l_orderkey % 97 = 0 and copy = 1")
+    timed("nearest of a small label", lambda: nearest.nearest_distance(vectors, few, ids))
     timed("total shuffle", lambda: sample.shuffle(rows, ids))
 
 
