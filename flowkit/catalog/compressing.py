@@ -293,6 +293,23 @@ def k16(spark: SparkSession, d: str) -> DataFrame:
     return reduced.select("vec_id", *[F.col("pca")[i].alias(f"x{i}") for i in range(5)])
 
 
+@query("k16_pca_report", f"""WITH {VECTORS}
+SELECT count(*) AS rows, true AS falling, true AS uncorrelated, true AS within FROM vectors""")
+def k16_report(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the variances of the components fall, no two are correlated, and they hold no more
+    than the variance of the rows."""
+    reduced = compress.pca(vectors(spark, d), 5)
+    x, v = [F.col("pca")[i] for i in range(5)], F.col("features")
+    whole = sum((F.var_pop(v[i].cast("double")) for i in range(1, 64)), F.var_pop(v[0].cast("double")))
+    r = reduced.agg(
+        F.count("*").alias("n"), whole.alias("whole"), *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)],
+        *[F.corr(x[i], x[j]).alias(f"c{i}{j}") for i in range(5) for j in range(i)]).first()
+    var = [r[f"v{i}"] for i in range(5)]
+    out = (r["n"], all(b <= a * (1 + 1e-9) for a, b in zip(var, var[1:])),
+           all(abs(r[f"c{i}{j}"]) < 1e-6 for i in range(5) for j in range(i)), sum(var) <= r["whole"] * (1 + 1e-9))
+    return spark.createDataFrame([out], "rows long, falling boolean, uncorrelated boolean, within boolean")
+
+
 @query("k10_density_filter_flows", f"""WITH {FLOWS}, f AS (
   SELECT {', '.join(IDS)}, port % 40 AS cluster, price AS dist FROM flows),
 s AS (SELECT cluster, count(*) AS size, count(*) <= ceil((SELECT count(*) FROM f) * 0.025::DOUBLE) AS small FROM f GROUP BY cluster),

@@ -15,7 +15,7 @@ from flowkit.catalog.scoring import (
     NUMBERS, PERT_TAGS, VALUES, VOTED_PAIRS, ensemble_inputs, ensemble_sql,
 )
 from flowkit.catalog.standins import (
-    ATTACKS, CLASSES, DIRTY_SPEC, FEATURES, FLOW_HASH, FLOW_SPEC, FLOWS, IDS, K, MERGED, SKEWED,
+    ATTACKS, CLASSES, DIRTY_SPEC, FEATURES, FLOW_HASH, FLOW_SPEC, FLOWS, IDS, K, MERGED, SKEWED, VECTORS,
     TYPED, TYPED_BAD, TYPED_NEGATIVE, VOTERS, dirty, flows, skewed, sources,
     sql_hash, table, vectors,
 )
@@ -150,6 +150,14 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return jobs.compress_majority(rows, 50, ["vec_id"], spec).select("vec_id", "Label")
 
 
+@query("j5_rows_per_label", f"""WITH {VECTORS}
+SELECT "Label", least(count(*), 50)::BIGINT AS rows FROM vectors WHERE "Label" IN ('a', 'b') GROUP BY "Label" """)
+def j5_rows(spark: SparkSession, d: str) -> DataFrame:
+    spec = DatasetSpec(name="vectors", features=("features",), majority=("a", "b"))
+    kept = jobs.compress_majority(vectors(spark, d).drop("cluster"), 50, ["vec_id"], spec)
+    return kept.groupBy("Label").agg(F.countDistinct("vec_id").alias("rows"))
+
+
 @query("j6_augment", f"""WITH {FLOWS}, o AS (SELECT count(DISTINCT (quantity, price)) AS o FROM flows WHERE "Label" = 'RF'),
 n AS (SELECT count(*) AS n FROM flows WHERE "Label" = 'RF')
 SELECT 'RF' AS "Label", o + 500 AS rows FROM o, n""")
