@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowkit.functions import col, hash_unit, order_hash
 from flowkit.operators.dedup import dedup, dedup_by_features, exclude_known_multi
-from flowkit.operators.ranking import hash_rank, take_smallest
+from flowkit.operators.ranking import first_rows, hash_rank, take_smallest
 from flowkit.staging import stage
 
 # Multiplier, floor of the rate, and largest request of one round.
@@ -130,8 +130,7 @@ def augment_until(
     if not accepted:
         return None
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), accepted)
-    trimmed = merged.orderBy("__round__", *[col(i) for i in ids]).limit(need)
-    return trimmed.drop("__round__")
+    return first_rows(merged, ["__round__", *ids], need).drop("__round__")
 
 
 def merge_augmented(original: DataFrame, accepted: DataFrame | None) -> DataFrame:

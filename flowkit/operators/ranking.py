@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions import col, order_hash
-from flowkit.staging import bounded, join_groups, lookup
+from flowkit.staging import bounded, join_groups, lookup, stage
 
 Quota = int | Column | Callable[[Column], Column] | DataFrame
 
@@ -24,6 +24,7 @@ SKETCH_FROM = 400_000  # rows from which a sketch is cheaper than counting all d
 SKETCH_CELLS = 256
 SKETCH_ACCURACY = 10_000
 MAX_ROUNDS = 6
+FEW_ROWS = 10_000  # first rows that one task may hold
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -360,3 +361,23 @@ def take_smallest(
         (v == F.col("kth")) & (F.col("__cut__").isNull() | (order_hash(seed, ids) <= F.col("__cut__")))
     )
     return _join_groups(keyed, cuts, names).where(inside).select(*_cols(df.columns))
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int, few: int = FEW_ROWS) -> DataFrame:
+    """The first `n` rows in ascending order of the columns, nulls first, in no order.
+
+    Up to `few` rows one task can hold them (a top-n of every task). More are taken by ranges: the
+    rows are written range by range, and only the range in which the n-th row lies is sorted and cut.
+    """
+    by = _cols(order)
+    if n <= few:
+        return df.orderBy(*by).limit(n)
+    ranged = stage(df.repartitionByRange(*by).withColumn("__range__", F.spark_partition_id()))
+    before = 0
+    for r in ranged.groupBy("__range__").agg(F.count("*").alias("n")).orderBy("__range__").collect():
+        if before + r["n"] >= n:
+            whole = ranged.where(F.col("__range__") < r["__range__"])
+            last = ranged.where(F.col("__range__") == r["__range__"]).orderBy(*by).limit(n - before)
+            return whole.unionByName(last).drop("__range__")
+        before += r["n"]
+    return ranged.drop("__range__")

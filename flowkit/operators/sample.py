@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowkit.functions import bounded_quota, col, order_hash, split_sources
 from flowkit.operators.dedup import source_counts_per_key
-from flowkit.operators.ranking import hash_flag, hash_rank, hash_take, take_smallest
+from flowkit.operators.ranking import first_rows, hash_flag, hash_rank, hash_take, take_smallest
 from flowkit.staging import bounded, lookup, stage
 
 
@@ -74,7 +74,7 @@ def take_rows(
     """First `n` rows in id order, or `n` random ones without replacement."""
     if mode == "random":
         return hash_take(df, [], ids, seed, n)
-    return df.orderBy(*[col(i) for i in ids]).limit(n)
+    return first_rows(df, ids, n)
 
 
 def fallback_sample(df: DataFrame, ids: Sequence[str], n: int = 100, seed: int = 42) -> DataFrame:
@@ -228,7 +228,7 @@ def balance_sources(
 
 def trim_to_need(df: DataFrame, ids: Sequence[str], need: int) -> DataFrame:
     """First `need` accepted rows in the order of `ids`."""
-    return df.orderBy(*[col(i) for i in ids]).limit(need)
+    return first_rows(df, ids, need)
 
 
 def top_closest(

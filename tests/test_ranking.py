@@ -120,3 +120,13 @@ def test_null_values_come_last_and_fill_the_quota(spark):
     rows = spark.createDataFrame([(i, None if i < 4 else float(i)) for i in range(10)], "id int, v double")
     got = {r.id for r in ranking.take_smallest(rows, [], "v", ["id"], 9).collect()}
     assert len(got) == 9 and set(range(4, 10)) <= got
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 499, 500, 900])
+def test_first_rows_by_ranges(spark, n):
+    rows = [(i, None if i % 50 == 0 else (i * 37) % 90) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(5)
+    want = sorted(map(tuple, df.orderBy("v", "id").limit(n).collect()), key=repr)
+    got = sorted(map(tuple, ranking.first_rows(df, ["v", "id"], n, few=-1).collect()), key=repr)
+    assert got == want
+    assert sorted(map(tuple, ranking.first_rows(df, ["v", "id"], n).collect()), key=repr) == want
