@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowkit.functions import col, hash_unit, order_hash
 from flowkit.operators.dedup import dedup, dedup_by_features, exclude_known_multi
+from flowkit.operators.known import KnownRows
 from flowkit.operators.ranking import first_rows, hash_rank, take_smallest
 from flowkit.staging import stage
 
@@ -103,26 +104,31 @@ def augment_until(
     not. `short` says what happens when rows are missing in the end: "raise" (the default without
     `max_rounds`) or "return" what there is (the default where the caller limits the rounds).
 
+    Candidates meet the known and accepted rows through a Bloom filter (`KnownRows`), so that a round
+    shuffles its batch, not the known tables.
+
     `generate(round, n)` gives `n` candidate rows in raw form. Each round's accepted rows are
     written to the shared folder and only counted on the driver. The last step trims to the need,
     or asks once more for what is missing.
     """
     accepted: list[DataFrame] = []
+    seen = KnownRows(known, features)
     have, turn, idle = 0, 0, 0
     while have < need and idle < PATIENCE and (max_rounds is None or turn < max_rounds):
         turn += 1
         batch = generate(turn, request_rows(need - have, rate, most=most))
         if score is not None:
             batch = accept_top(stage(score(batch)), ids, rate)
-        fresh = stage(admit(batch, [*known, *accepted], features, order))
+        fresh = stage(seen.exclude(dedup_by_features(batch, features, order)))
         count = fresh.count()
         idle = 0 if count else idle + 1
         if count:
+            seen.add(fresh)
             accepted.append(fresh.withColumn("__round__", F.lit(turn)))
             have += count
     if final_fill and have < need:
         batch = generate(turn + 1, need - have)
-        extra = stage(admit(batch, [*known, *accepted], features, order))
+        extra = stage(seen.exclude(dedup_by_features(batch, features, order)))
         accepted.append(extra.withColumn("__round__", F.lit(turn + 1)))
         have += extra.count()
     if have < need and (short or ("raise" if max_rounds is None else "return")) == "raise":
