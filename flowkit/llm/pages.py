@@ -2,13 +2,16 @@
 
 Markup is stripped into one line per block element. A line's weight is the length of its text; it
 is zero inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-(told by element, role, class or id), and outside the article element where the page has one. Inside
-an article, names and roles count only where they can mean nothing but adverts, comments, navigation
-or forms, and lists of links are text.
+(told by element, role, class or id), and outside the article element where the page has one. A class
+or id counts by its last telling part, as the noun of a compound: `comment-body` and `left-sidebar` are
+noise, `nav-history` and `legal-article` are not. Inside an article, headings, notices of law and forms
+of words stay text, and so do lists of links; an article element that is named as a comment or an advert
+is noise itself.
 Weights are summed over a sliding window of lines. A region begins where the sum surges from zero
 and ends where it dives to zero; text between is kept, without the lines of weight zero. A page
 with an article keeps all its regions, as all weight lies within it; another page keeps every region
-that surges to SURGE, or all regions if none does, and text of link lists has no weight.
+that surges to SURGE and the short ones that continue the element such a region lies in, or all regions
+if none surges, and text of link lists has no weight.
 
 A null page is empty and gives the empty text, as does a page without text. Repeated rows give equal
 results. Pages of any length are read whole. An empty table gives no rows. Other columns are ignored.
@@ -40,7 +43,8 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "tfoot", "thead", "tr", "ul"}
 SCOPES = {"article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav",
           "ol", "section", "table", "td", "th", "ul", "dialog", "details", "figure", "blockquote"}
-NOISY = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "fieldset", "search", "label"}
+HOLDERS = {"body", "div", "section", "td"}
+NOISY = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "fieldset", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert",
          "alertdialog", "form", "menu", "menubar", "toolbar", "status", "note"}
 # Words in class and id names of what is not the article.
@@ -55,13 +59,17 @@ NOISE_WORDS = {
     "replies", "respond", "disqus", "skip", "toolbar", "hidden",
 }
 
-# Those of them that inside an article, too, can only be adverts, comments, navigation or forms.
-CLEAR_NOISE = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot",
-    "sponsored", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination",
-    "cookie", "cookies", "gdpr", "newsletter", "comments", "commentlist", "disqus", "form", "login",
-    "signup",
+# Those of them that can be part of an article's own text or title.
+ARTICLE_WORDS = {"header", "masthead", "legal", "form", "alert", "banner", "hidden", "search", "copyright", "aside", "skip"}
+CLEAR_NOISE = NOISE_WORDS - ARTICLE_WORDS
+# Parts of names that say how an element looks or where it is, not what it holds.
+PLAIN_PARTS = {
+    "area", "author", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content",
+    "desktop", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "mobile", "outer",
+    "panel", "right", "row", "section", "slot", "stories", "text", "thread", "top", "unit", "wrap", "wrapper",
 }
+# Parts that make a name speak of something beside the element.
+RELATING = {"with", "without", "has", "no", "of", "is", "not"}
 CLEAR_ROLES = {"navigation", "search", "form", "menu", "menubar", "toolbar"}
 
 _TOKEN = re.compile(
@@ -81,11 +89,23 @@ class Line:
     quiet: bool = False
     inside: bool = False
     item: bool = False
+    parent: int = 0
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
+def _names_noise(name: str, words: set[str]) -> bool:
+    """Whether a class or id names noise: by its last part that is not plain, or as a whole."""
+    parts = [part.lower() for part in _NAME_PART.findall(name)]
+    if "".join(parts) in words:
+        return True
+    if RELATING.intersection(parts):
+        return False
+    telling = [part for part in parts if part not in PLAIN_PARTS and not part.isdigit()]
+    return bool(telling) and telling[-1] in words
+
+
 def _noisy(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element is not text of the page; inside an article only what is clearly not."""
     if tag in NOISY or tag == "header" and not inside:
@@ -101,8 +121,8 @@ def _noisy(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if any(w.lower() in words for w in _NAME_PART.findall(value)):
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            if any(_names_noise(v, words) for v in value.split()):
                 return True
     return re.search(r"(?:^|\s)hidden(?=\s|=|$)", attrs) is not None
 
@@ -110,9 +130,9 @@ def _noisy(tag: str, attrs: str, inside: bool) -> bool:
 def split_lines(page: str) -> tuple[list[Line], bool]:
     """Lines of a page in order, and whether it has an article element."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element; quiet, inside, link, item
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # element; quiet, inside, link, item, parent
     open_ = Counter()
-    fresh, has_article, at, line = True, False, 0, Line()
+    fresh, has_article, at, line, scopes = True, False, 0, Line(), 0
 
     def close(k: int) -> None:
         open_.subtract(e[0] for e in stack[k:])
@@ -122,14 +142,14 @@ def split_lines(page: str) -> tuple[list[Line], bool]:
         nonlocal fresh, line
         if not text:
             return
-        _, quiet, inside, link, item = stack[-1] if stack else ("", False, False, False, False)
+        _, quiet, inside, link, item, parent = stack[-1] if stack else ("", False, False, False, False, 0)
         text = html.unescape(text)
         if fresh or quiet != line.quiet or inside != line.inside:
             if not text.strip():
                 if not fresh:
                     line.parts.append(" ")
                 return
-            line = Line(quiet=quiet, inside=inside, item=item)
+            line = Line(quiet=quiet, inside=inside, item=item, parent=parent)
             lines.append(line)
             fresh = False
         line.parts.append(text)
@@ -163,12 +183,16 @@ def split_lines(page: str) -> tuple[list[Line], bool]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-        _, quiet, inside, link, item = stack[-1] if stack else ("", False, False, False, False)
-        if tag in ("article", "main") and not quiet:
+        _, quiet, inside, link, item, parent = stack[-1] if stack else ("", False, False, False, False, 0)
+        main = tag in ("article", "main")
+        quiet = quiet or _noisy(tag, token["attrs"], inside or main)
+        if main and not quiet:
             inside = has_article = True
+        if tag in HOLDERS:
+            scopes += 1
+            parent = scopes
         open_[tag] += 1
-        stack.append((tag, quiet or _noisy(tag, token["attrs"], inside), inside,
-                      link or tag == "a", item or tag == "li"))
+        stack.append((tag, quiet, inside, link or tag == "a", item or tag == "li", parent))
     add(page[at:])
     return lines, has_article
 
@@ -187,8 +211,14 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     edge = np.flatnonzero(np.diff(filled))
     regions = list(zip(edge[::2], edge[1::2] + window - 1))
     if not has_article and regions:
-        peak = [total[a:b].max() for a, b in regions]
-        regions = [r for r, p in zip(regions, peak) if p >= surge] or regions
+        peak = [total[a:b - window + 1].max() for a, b in regions]
+        full = [r for r, p in zip(regions, peak) if p >= surge]
+
+        def parents(a: int, b: int) -> set[int]:
+            return {line.parent for line, w in zip(lines[a:b], weight[a:b]) if w}
+
+        held = set().union(*(parents(a, b) for a, b in full))
+        regions = [r for r in regions if r in full or held & parents(*r)] if full else regions
     kept = np.zeros(len(weight), bool)
     for a, b in regions:
         kept[a:b] = True
