@@ -6,7 +6,8 @@ contains it. A window's sketch are its k smallest shingle hashes, each a band of
 holds all hashes of the templates, and a window meets a template if a band agrees. A window that
 holds s of the template's shingles misses all of them with probability C(W-s, k) / C(W, k): zero for
 the two small sizes (k > W - s), below 0.004 for the others, at the shortest template of the group
-and a containment of 0.8. Candidates are then verified by exact containment of the template's
+and a containment of 0.8. Templates longer than the largest size serves get further sizes, each four
+times the one before, so that whole license texts can be searched. Candidates are then verified by exact containment of the template's
 shingles, compared as text. All of it is DataFrame and SQL functions.
 
 Texts are lower-cased (A-Z) and split at white space. Null and empty texts, and texts below five
@@ -20,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowkit.llm.common import WORD, bind
+from flowkit.llm.common import WORD, bind, words
 from flowkit.staging import stage
 
 SHINGLE = 5
 CONTAINED = 0.8
 #: Size of windows in shingles -> bands. A size W serves templates of up to W // 2 + 1 shingles.
 WINDOWS = {2: 2, 8: 6, 32: 20, 128: 40}
+#: Bands of larger sizes: at a containment of 0.8 a tenth of such a window belongs to the template.
+LONG_BANDS = 54
 
 # Wording of public license notices.
 TEMPLATES = [
@@ -57,6 +60,15 @@ TEMPLATES = [
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def window_sizes(rows: list[tuple[str, str]]) -> dict[int, int]:
+    """Size of windows -> bands, up to a size that serves the longest of the templates."""
+    longest = max((len(words(text)) - (SHINGLE - 1) for _, text in rows), default=0)
+    sizes = dict(WINDOWS)
+    while max(sizes) // 2 + 1 < longest:
+        sizes[max(sizes) * 4] = LONG_BANDS
+    return sizes
+
+
 def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
 
@@ -89,15 +101,14 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) ->
         "template", word_list(F.col("text")).alias("words"))
     sized = base.select(
         "template", shingle_texts(F.col("words")).alias("shingles"), shingle_hashes(F.col("words")).alias("h"))
-    window = F.coalesce(*[F.when(F.size("h") <= w // 2 + 1, F.lit(w)) for w in sorted(WINDOWS)])
-    found = sized.withColumn("window", window)
-    if not found.where("window is null").isEmpty():
-        raise ValueError(f"templates above {max(WINDOWS) // 2 + 1} shingles need a larger window size")
-    return found.select("template", "window", "shingles", F.explode(F.array_distinct("h")).alias("band"))
+    window = F.coalesce(*[F.when(F.size("h") <= w // 2 + 1, F.lit(w)) for w in sorted(window_sizes(rows))])
+    return sized.withColumn("window", window).select("template", "window", "shingles", F.explode(F.array_distinct("h")).alias("band"))
 
 
 def scan(docs: DataFrame, rows: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, template, start_word, shared, of_shingles: per document and template it contains."""
+    rows = TEMPLATES if rows is None else rows
+    sizes = window_sizes(rows)
     known = stage(templates(docs.sparkSession, rows))
     shingles = {r["template"]: r["shingles"] for r in known.select("template", "shingles").distinct().collect()}
     used = sorted(r[0] for r in known.select("window").distinct().collect())
@@ -107,7 +118,7 @@ def scan(docs: DataFrame, rows: list[tuple[str, str]] | None = None) -> DataFram
         return F.transform(
             F.sequence(F.lit(0), F.size(h) - 1, F.lit(max(1, w // 2))),
             lambda s: F.struct(
-                F.lit(w).alias("window"), F.lit(WINDOWS[w]).alias("bands"), s.alias("start"),
+                F.lit(w).alias("window"), F.lit(sizes[w]).alias("bands"), s.alias("start"),
                 F.slice(h, s + 1, w).alias("h")))
 
     def cut(h: Column) -> Column:
@@ -153,7 +164,7 @@ def scan_sql(rows: list[tuple[str, str]] | None = None) -> str:
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
     lower = f"translate({{}}, '{_UPPER}', '{_UPPER.lower()}')"
     split = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
-    size = " ".join(f"WHEN n <= {w // 2 + 1} THEN {w}" for w in sorted(WINDOWS))
+    size = " ".join(f"WHEN n <= {w // 2 + 1} THEN {w}" for w in sorted(window_sizes(rows)))
     return f"""
 WITH t0(template, text) AS (VALUES {quoted}),
 t1 AS (SELECT template, {split.format(lower.format('text'))} AS w FROM t0),
