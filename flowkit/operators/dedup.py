@@ -158,8 +158,12 @@ def select_back(df: DataFrame, picked: DataFrame, ids: Sequence[str]) -> DataFra
 def align_by_id(
     plain: DataFrame, perturbed: DataFrame, ids: Sequence[str] = ("sample_id",)
 ) -> DataFrame:
-    """Pair plain and perturbed samples; unpaired ones on either side fall away."""
-    return plain.join(perturbed, list(ids))
+    """Pair plain and perturbed samples; unpaired ones on either side fall away.
+
+    Both sides grow with the samples, however small their files look to the optimizer before they
+    are exploded per model, so neither is sent to the driver and broadcast.
+    """
+    return plain.join(perturbed.hint("merge"), list(ids))
 
 
 def alignment_counts(plain: DataFrame, perturbed: DataFrame) -> DataFrame:

@@ -229,9 +229,9 @@ def robustness_report(
     complete = tables.require_all_sources(pert.select("model", "attack").distinct(), models)
     # attack names are few; as a list they prune the scan of the perturbed samples
     pert = pert.where(F.col("attack").isin([r["attack"] for r in complete.collect()]))
-    alone = (
-        truth.join(plain.select(*ids, "model", _pred("plain_pred")), list(ids))
-        .join(pert.select(*ids, "model", "attack", _pred("pert_pred")), [*ids, "model"])
+    alone = dedup.align_by_id(
+        dedup.align_by_id(truth, plain.select(*ids, "model", _pred("plain_pred")), ids),
+        pert.select(*ids, "model", "attack", _pred("pert_pred")), [*ids, "model"],
     )
     each = score.robustness_table(alone)
     return each.unionByName(

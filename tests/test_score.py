@@ -85,3 +85,15 @@ def test_merge_train_and_sample(spark):
     assert out.count() == 30 and sorted(r["position"] for r in out.collect()) == list(range(1, 31))
     assert {r["__source__"] for r in out.collect()} == {"major:a", "minor:b:wgan"}
     assert score.sample_test(rows, ["id"], 4).count() == 8
+
+
+def test_robustness_broadcasts_no_samples(spark):
+    """The probabilities are small files before they are exploded per model; the joins must not trust that."""
+    ids = spark.range(40).withColumnRenamed("id", "sample_id")
+    model = F.explode(F.array(F.lit("xgb"), F.lit("dnn"))).alias("model")
+    plain = ids.select("sample_id", model, F.array(F.lit(0.2), F.lit(0.8)).alias("proba"))
+    pert = plain.withColumn("attack", F.lit("flip"))
+    truth = ids.withColumn("y", (F.col("sample_id") % 2).cast("int"))
+    for out in (jobs.robustness_report(plain, pert, truth, 2, ["xgb", "dnn"]), score.ensemble_asr(plain, pert, truth, 2)):
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["plain_acc"], r["asr"]) for r in out.collect()} == {(0.5, 0.0)}
