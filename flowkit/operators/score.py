@@ -35,11 +35,13 @@ def merge_train(
     `majority` is (label, rows); `minority` is (label, strategy, rows). The order is the column
     `position`.
     """
-    parts = [tag(dedup(df), "__source__", "major", label) for label, df in majority]
+    parts = [tag(df, "__source__", "major", label) for label, df in majority]
     parts += [
-        tag(dedup(df), "__source__", "minor", label, strategy) for label, strategy, df in minority
+        tag(df, "__source__", "minor", label, strategy) for label, strategy, df in minority
     ]
-    return shuffle(stage(union_aligned(parts)), ids, seed)
+    # one shuffle for all parts: distinct parts that are then united can end up in a single task
+    numbered = [df.withColumn("__part__", F.lit(n)) for n, df in enumerate(parts)]
+    return shuffle(stage(dedup(union_aligned(numbered)).drop("__part__")), ids, seed)
 
 
 def sample_test(

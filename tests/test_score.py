@@ -97,3 +97,17 @@ def test_robustness_broadcasts_no_samples(spark):
     for out in (jobs.robustness_report(plain, pert, truth, 2, ["xgb", "dnn"]), score.ensemble_asr(plain, pert, truth, 2)):
         assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
         assert {(r["plain_acc"], r["asr"]) for r in out.collect()} == {(0.5, 0.0)}
+
+
+def test_merged_parts_are_shuffled_once(spark, monkeypatch):
+    """Distinct parts united afterwards met in one task; the parts' rows are made distinct in one shuffle."""
+    plans = []
+    kept = score.stage
+    monkeypatch.setattr(score, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    part = spark.range(6).selectExpr("id % 3 AS id", "'a' AS Label")
+    out = score.merge_train([("a", part), ("a", part)], [("b", "wgan", part.withColumn("more", F.lit(1)))], ["id"])
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    rows = [(r["id"], r["__source__"], r["more"]) for r in out.collect()]
+    assert sorted(rows, key=str) == sorted(
+        [(i, "major:a", None) for i in range(3)] * 2 + [(i, "minor:b:wgan", 1) for i in range(3)], key=str)
+    assert sorted(r["position"] for r in out.collect()) == list(range(1, 10))
