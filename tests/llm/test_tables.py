@@ -241,6 +241,28 @@ def test_top_k_with_large_numbers():
     assert vectors.dot_products(v, np.array([3, 2**20], np.int64)).tolist() == [3 * 2**40 + 2**20, 3 * 2**40 + 2**21]
 
 
+def test_top_k_reads_few_pivots_of_a_block():
+    """Reading all 64 cost more than the products they were to save."""
+    class Table(list):
+        read = 0
+
+        def __getitem__(self, at):
+            self.read += 1
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(4)
+    for high in (2, 64):  # many ties, few ties
+        v = rng.integers(0, high, (700, 64))
+        ids, rows, norms = rng.integers(0, 500, 700), np.arange(700), (v.astype(float) ** 2).sum(1)
+        to_pivots = np.sqrt(((v[:, None] - v[None, :64]) ** 2).sum(2))
+        for q in range(0, 700, 100):
+            for plain in (None, v.astype(float)):
+                table = Table(np.ascontiguousarray(to_pivots.T))
+                at, score = vectors.best_of_block(v[q], to_pivots[q], q, rows, ids, v, table, norms, 20, plain)
+                want = sorted((-int(v[k] @ v[q]), ids[k]) for k in range(700) if k != q)[:20]
+                assert list(zip(-score, ids[at])) == want and table.read <= 8
+
+
 def test_near_duplicates(embeddings, monkeypatch):
     monkeypatch.setattr(vectors, "RESIDENTS", 50)
     monkeypatch.setattr(vectors, "VISITORS", 60)
