@@ -7,12 +7,13 @@ of fixed size, so that a common passage brings texts together only if it is most
 share such a shingle are candidates. They stay rows (key, row), sorted and streamed; no list of a key
 is gathered, and a key that is frequent in a sample of the texts is spread over several tasks.
 
-First every text meets the one text it shares most leading keys with; texts connected by then form
-no more pairs, so a large group of copies costs one pair per text. Then texts of a key that are still
-in different groups meet in blocks. A candidate pair is first held against parity sketches (one bit per
-bucket of hashes, odd or even): sketches differ in at most as many bits as the sets differ in
-elements, so a pair that they reject cannot be similar. What passes is computed from whole texts,
-sent once per chunk of partners, in a stream. Neither filter loses a pair.
+First the fingerprints of op4, over the same shingles, are linked by its trie, and every text meets the
+one text it shares most leading keys with. Then rounds follow: in every key, a text names the most similar
+one of another group, by parity sketches (one bit per bucket of hashes, odd or even). Sketches differ in at
+most as many bits as the sets differ in elements, so a pair that they reject cannot be similar. What is
+named is computed from whole texts, sent once per chunk of partners, in a stream, and joins groups. A round
+names at most one partner per text and key, so a large group of copies never forms all its pairs. After the
+last round all pairs that sketches leave between groups are computed; no filter loses a pair.
 
 Null text counts as empty; texts without words are copies of each other. Fewer than five words form
 one shingle. Equal rows are copies. Texts of any length are read whole; a sketch has about one bit
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowkit.llm import simhash
 from flowkit.llm.common import components, free_name, tidy, words
 from flowkit.staging import bounded, stage
 
@@ -44,6 +46,9 @@ KEY_ROWS = 1 << 18
 # Texts of a key in a block, and partners that share one copy of a text.
 BLOCK = 512
 CHUNK = 256
+# Rounds in which texts name one partner a key, and pairs that a task holds at once.
+ROUNDS = 2
+PAIRS = 1 << 18
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -246,40 +251,99 @@ def _leading(members: DataFrame) -> DataFrame:
     return best.select((-F.col("b.before")).alias("u"), F.col("row").alias("v"))
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of one key and different roots that their sizes and places allow.
+def _fingerprint_links(texts: DataFrame) -> DataFrame:
+    """(u, v): texts with equal fingerprints, or such that op4's trie connects, as a forest."""
+    rows = stage(simhash.fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), SHINGLE))
+    first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    twins = rows.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    links = simhash.links_forest(first.select("fp"))
+    near = links.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(
+        F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return twins.union(near)
+
+
+def sketch_distances(sketches: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`sketch_distance` of many pairs of positions; the longer sketch of a pair is folded."""
+    sketches = sketches.cast(pa.large_binary())
+    data = np.frombuffer(sketches.buffers()[2], np.uint8) if len(sketches) else np.zeros(0, np.uint8)
+    ends = np.frombuffer(sketches.buffers()[1], np.int64)[sketches.offset:][:len(sketches) + 1]
+    start, size = ends[:-1], np.diff(ends)
+    swap = size[a] < size[b]
+    long_, short = np.where(swap, b, a), np.where(swap, a, b)
+    out, kinds = np.zeros(len(a), np.int64), size[long_] << 32 | size[short]
+    for kind in np.unique(kinds):
+        at, many, few = np.flatnonzero(kinds == kind), int(kind >> 32), int(kind & 0xFFFFFFFF)
+        step = max(1, (PAIRS << 4) // many)
+        for c in range(0, len(at), step):
+            k = at[c:c + step]
+            x = data[start[long_[k], None] + np.arange(many)].reshape(len(k), many // few, few)
+            y = data[start[short[k], None] + np.arange(few)]
+            out[k] = np.bitwise_count((np.bitwise_xor.reduce(x, axis=1) ^ y).view(np.uint64)).sum(1, dtype=np.int64)
+    return out
+
+
+def _meetings(group: np.ndarray, block: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of the rows that meet, both ways: of one group, and of both its blocks where it has two."""
+    size = np.bincount(group)[group]
+    first = np.concatenate([[0], np.cumsum(np.bincount(group))])[group]
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(group):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        a = np.repeat(np.arange(at, to), size[at:to])
+        b = first[a] + np.arange(len(a)) - np.repeat(ends[at:to] - size[at:to] - (ends[at - 1] if at else 0), size[at:to])
+        ok = np.where(same[group[a]], a != b, block[a] != block[b])
+        yield a[ok], b[ok]
+        at = to
+
+
+def _block_pairs(members: DataFrame, profiles: DataFrame, every_pair: bool) -> DataFrame:
+    """Pairs (u, v), u < v, of one key and different roots that sizes, places and sketches allow.
 
     `members` has key, row, place, root. A key with many rows is cut into blocks, and pairs of blocks
     meet. A shingle at places i and j leaves at most 1 + min(n - i - 1, m - j - 1) common ones from
-    there on, and min(i, j) before.
+    there on, and min(i, j) before. Unless `every_pair` is asked for, a text names only the one that
+    its sketch is nearest to.
     """
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i_, j_, x in zip(*(batch.column(k) for k in range(3))):
-                same = i_.as_py() == j_.as_py()
-                row, place, root, block = (x.values.field(k).to_numpy() for k in range(4))
-                n, at = place >> 32, place & 0xFFFFFFFF
-                left = np.flatnonzero(block == i_.as_py())
-                right = left if same else np.flatnonzero(block == j_.as_py())
-                for k, i in enumerate(left):
-                    j = right[k + 1:] if same else right
-                    most = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1) + np.minimum(at[i], at[j])
-                    ok = (root[j] != root[i]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)
-                    j = j[ok & (most * (p + q) >= p * (n[i] + n[j]))]
-                    if len(j):
-                        yield pa.record_batch(
-                            [pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], ["u", "v"])
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten()
+            group = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            row, place, root, block = (x.field(k).to_numpy() for k in range(4))
+            sketches, same = x.field(4), batch.column(0).to_numpy() == batch.column(1).to_numpy()
+            n, place = place >> 32, place & 0xFFFFFFFF
+            for a, b in _meetings(group, block, same):
+                ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
+                if every_pair:
+                    ok &= row[a] < row[b]
+                a, b = a[ok], b[ok]
+                most = 1 + np.minimum(n[a] - place[a] - 1, n[b] - place[b] - 1) + np.minimum(place[a], place[b])
+                ok = most * (p + q) >= p * (n[a] + n[b])
+                a, b = a[ok], b[ok]
+                apart = sketch_distances(sketches, a, b)
+                ok = similar((n[a] + n[b] - apart) // 2, n[a] + n[b])
+                a, b, apart = a[ok], b[ok], apart[ok]
+                if not every_pair:
+                    order = np.lexsort((row[b], apart / np.maximum(1, n[a] + n[b]), a))
+                    order = order[np.diff(a[order], prepend=-1) != 0]
+                    a, b = a[order], b[order]
+                if len(a):
+                    yield pa.record_batch(
+                        [pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], ["u", "v"])
 
     open_ = stage(members.groupBy("key").agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"),
     ).where("a <> b").select("key", "blocks"))
-    placed = members.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    placed = members.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).join(
+        profiles.select("row", "sketch"), "row")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = placed.withColumn("other", other).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.struct("row", "place", "root", "block").alias("x"))
+        F.struct("row", "place", "root", "block", "sketch").alias("x"))
     return met.groupBy("key", "i", "j").agg(F.collect_list("x").alias("x")).select("i", "j", "x").mapInArrow(
         tidy(run), "u long, v long").distinct()
 
@@ -296,12 +360,21 @@ def near_copy_roots(texts: DataFrame) -> DataFrame:
     prefixes = _prefixes(own, shared)
     members = stage(_shared_keys(
         prefixes.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", salt)))
-    edges = stage(_verified(_possible(_leading(members), every), texts))
-    roots = stage(components(edges))
-    grouped = stage(members.select("key", "row", "place").join(
-        roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")))
-    more = stage(_verified(_possible(_block_pairs(grouped), every), texts))
-    roots = components(edges.union(more))
+    tried = stage(_fingerprint_links(own).union(_leading(members)).distinct())
+    edges = stage(_verified(_possible(tried, every), texts))
+    left = ROUNDS
+    while left >= 0:
+        roots = stage(components(edges))
+        grouped = stage(members.select("key", "row", "place").join(
+            roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")))
+        named = stage(_block_pairs(grouped, every, left == 0).join(tried, ["u", "v"], "left_anti"))
+        if named.isEmpty():  # nothing new: all pairs come next, unless this were all
+            left = min(left, 1)
+        else:
+            tried = tried.union(named)
+            edges = edges.union(stage(_verified(named, texts)))
+        left -= 1
+    roots = components(edges)
     of_rep = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("root", "rep").alias("root"))
     return every.select("row", "digest").join(of_rep, "digest").select("row", "root")

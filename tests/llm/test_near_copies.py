@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from flowkit.llm import near_copies
 from flowkit.llm.common import LOWER, local_roots
@@ -90,3 +91,40 @@ def test_sketches_never_differ_by_more_than_the_sets():
             a, b = (np.sort(rng.permutation(pool)[:rng.integers(0, n + 1)]) for _ in range(2))
             apart = near_copies.sketch_distance(near_copies.sketch(a), near_copies.sketch(b))
             assert apart <= len(np.setxor1d(a, b))
+
+
+def test_a_group_of_near_copies_forms_no_square_of_pairs(spark, monkeypatch):
+    """120 texts around one base, about 0.7 to 0.9 alike: each names few partners, and the groups are those of all pairs."""
+    rng = random.Random(3)
+    base, texts = [f"b{k}" for k in range(100)], []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randint(1, 3)):
+            w[k] = f"e{rng.random()}"
+        texts.append(" ".join(w))
+    computed = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, t: computed.append(pairs.count()) or verified(pairs, t))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r.row: r.root for r in near_copies.near_copy_roots(rows).collect()}
+    want = brute_roots(texts).tolist()
+    assert len(set(got.values())) == len(set(want)) == len(set(zip(got.values(), (want[k] for k in got))))
+    assert sum(computed) < 8 * len(texts)
+
+
+def test_the_stage_links_by_the_trie_of_fingerprints(spark):
+    """Texts whose five-word fingerprints are at most two bits apart come from op4's operator."""
+    base = [f"b{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), "other words here and now and then"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    bits = [near_copies.simhash.fingerprint(t, 5) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2
+    assert [tuple(r) for r in near_copies._fingerprint_links(rows).collect()] == [(0, 1)]
+
+
+def test_sketch_distances_of_many_pairs():
+    rng = np.random.default_rng(6)
+    sketches = [near_copies.sketch(np.unique(rng.integers(-2**63, 2**63 - 1, n))) for n in (0, 3, 64, 65, 130, 300, 5000)]
+    a, b = (x.ravel() for x in np.indices((7, 7)))
+    got = near_copies.sketch_distances(pa.array([b"x" * 8, *sketches], pa.binary()).slice(1), a, b)
+    assert got.tolist() == [near_copies.sketch_distance(sketches[i], sketches[j]) for i, j in zip(a, b)]
