@@ -110,6 +110,12 @@ def test_a_group_of_near_copies_forms_no_square_of_pairs(spark, monkeypatch):
     want = brute_roots(texts).tolist()
     assert len(set(got.values())) == len(set(want)) == len(set(zip(got.values(), (want[k] for k in got))))
     assert sum(computed) < 8 * len(texts)
+    # all of one key and still in groups of their own, as texts are that their first partner did not link
+    sketches = [(k, bytearray(near_copies.sketch(near_copies.shingle_set(texts[0])))) for k in range(120)]
+    profiles = spark.createDataFrame(sketches, "row long, sketch binary")
+    members = spark.range(120).selectExpr("1L AS key", "id AS row", "shiftleft(96L, 32) AS place", "id AS root")
+    pairs = near_copies._block_pairs(members, profiles, False)
+    assert pairs.count() < 120 and near_copies._block_pairs(members, profiles, True).count() == 120 * 119 // 2
 
 
 def test_the_stage_links_by_the_trie_of_fingerprints(spark):
