@@ -46,9 +46,12 @@ KEY_ROWS = 1 << 18
 # Texts of a key in a block, and partners that share one copy of a text.
 BLOCK = 512
 CHUNK = 256
-# Rounds in which texts name one partner a key, and pairs that a task holds at once.
+# Rounds in which texts name one partner a key; pairs, and bytes of sketches, that a task holds at once.
 ROUNDS = 2
-PAIRS = 1 << 18
+PAIRS = 1 << 16
+SKETCHED = 1 << 18
+# Groups of rows that a task unpacks at once.
+UNPACKED = 1024
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -273,7 +276,7 @@ def sketch_distances(sketches: pa.Array, a: np.ndarray, b: np.ndarray) -> np.nda
     out, kinds = np.zeros(len(a), np.int64), size[long_] << 32 | size[short]
     for kind in np.unique(kinds):
         at, many, few = np.flatnonzero(kinds == kind), int(kind >> 32), int(kind & 0xFFFFFFFF)
-        step = max(1, (PAIRS << 4) // many)
+        step = max(1, SKETCHED // many)
         for c in range(0, len(at), step):
             k = at[c:c + step]
             x = data[start[long_[k], None] + np.arange(many)].reshape(len(k), many // few, few)
@@ -308,13 +311,11 @@ def _block_pairs(members: DataFrame, profiles: DataFrame, every_pair: bool) -> D
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(2).flatten()
-            group = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+        for part in (batch.slice(at, UNPACKED) for batch in batches for at in range(0, batch.num_rows, UNPACKED)):
+            x = part.column(2).flatten()
+            group = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
             row, place, root, block = (x.field(k).to_numpy() for k in range(4))
-            sketches, same = x.field(4), batch.column(0).to_numpy() == batch.column(1).to_numpy()
+            sketches, same = x.field(4), part.column(0).to_numpy() == part.column(1).to_numpy()
             n, place = place >> 32, place & 0xFFFFFFFF
             for a, b in _meetings(group, block, same):
                 ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)

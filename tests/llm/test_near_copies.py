@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -134,3 +135,17 @@ def test_sketch_distances_of_many_pairs():
     a, b = (x.ravel() for x in np.indices((7, 7)))
     got = near_copies.sketch_distances(pa.array([b"x" * 8, *sketches], pa.binary()).slice(1), a, b)
     assert got.tolist() == [near_copies.sketch_distance(sketches[i], sketches[j]) for i, j in zip(a, b)]
+
+
+def test_sketches_of_many_pairs_are_compared_in_small_parts():
+    rng = np.random.default_rng(5)
+    sketches = [rng.bytes(512) for _ in range(64)]
+    a, b = rng.integers(0, 64, (2, 1 << 15))
+    tracemalloc.start()
+    try:
+        got = near_copies.sketch_distances(pa.array(sketches, pa.binary()), a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[:50].tolist() == [near_copies.sketch_distance(sketches[i], sketches[j]) for i, j in zip(a[:50], b[:50])]
+    assert peak < 12 << 20
