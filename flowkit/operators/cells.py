@@ -11,7 +11,7 @@ import pyarrow as pa
 
 SLACK = 1e-9  # relative; rounding must never rule out a cell
 FEW_DIMS = 8  # vectors that short are compared in one step
-PAIRS = 1 << 22  # distances held at once
+PAIRS = 1 << 20  # distances held at once
 TILE = 1 << 18  # products worked on while they are in a core's cache
 
 

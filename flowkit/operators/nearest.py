@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowkit.functions import col, order_hash
-from flowkit.operators.cells import CellIndex, CellTree, improve, matrix, runs
+from flowkit.operators.cells import PAIRS, CellIndex, CellTree, improve, matrix, runs
 from flowkit.operators.ranking import hash_take
 from flowkit.staging import lookup, stage
 
@@ -23,6 +23,7 @@ BROADCAST_VALUES = 8_000_000  # 64 MB of doubles: right sides that travel whole,
 CELL_ROWS = 1024  # right rows a cell holds on average
 PACKED = 1024  # left rows per travelling block
 BLOCKS = 16  # left blocks of a cell that meet it in one task
+OPENED = 1 << 22  # bytes of left rows that leave a task for further cells in one batch
 
 
 def nearest_distance(
@@ -147,27 +148,47 @@ def _nearest_by_cells(
         return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, dim)
 
     def first_visit(near: pa.Table, members: pa.Table) -> pa.Table:
-        """The distance within the own cell, and blocks for the cells still open (cell -1: none)."""
-        cells, ks, bests, ms = [], [], [], []
-        other = rows_of(members.column("m"))
-        for m, k in zip(near.column("m").to_pylist(), near.column("k").to_pylist()):
-            x, k = np.frombuffer(m).reshape(-1, dim), np.frombuffer(k, np.int64)
+        """The distance within the own cell."""
+        bests, other = [], rows_of(members.column("m"))
+        for m in near.column("m"):
+            x = np.frombuffer(m.as_buffer()).reshape(-1, dim)
             best = np.full(len(x), np.inf)
             improve(x, best, other)
-            own = near.column("cell")[0].as_py()
-            row, cell = shared.value.within(x, best)
-            order = np.argsort(cell, kind="stable")
-            row, cell = row[order], cell[order]
-            blocks = [(-1, np.arange(len(x)))] + [(c, row[a:b]) for c, a, b in runs(cell) if c != own]
-            for c, at in blocks:
-                cells.append(c)
-                ks.append(k[at].tobytes())
-                bests.append(best[at].tobytes())
-                ms.append(x[at].tobytes() if c >= 0 else None)
-        return pa.table({"cell": pa.array(cells, pa.int32()), "k": pa.array(ks, pa.binary()),
-                         "best": pa.array(bests, pa.binary()), "m": pa.array(ms, pa.binary())})
-
-    seen = stage(_meet(left_blocks, right_blocks, first_visit, "cell int, k binary, best binary, m binary"))
+            bests.append(best.tobytes())
+        return near.select(["cell", "k", "m"]).append_column("best", pa.array(bests, pa.binary()))
+
+    seen = stage(_meet(left_blocks, right_blocks, first_visit, "cell int, k binary, m binary, best binary"))
+
+    def blocks(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"cell": pa.int32(), "k": pa.binary(), "best": pa.binary(), "m": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks for the cells still open, in a stream: a row may have to visit many."""
+        step = max(1, PAIRS // n_cells)
+        out, size = [], 0
+        for batch in batches:
+            for own, k, m, best in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                k, x, best = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(m.as_buffer()), np.frombuffer(best.as_buffer())
+                x = x.reshape(-1, dim)
+                for low in range(0, len(x), step):
+                    row, cell = shared.value.within(x[low:low + step], best[low:low + step])
+                    order = np.argsort(cell, kind="stable")
+                    row, cell = row[order] + low, cell[order]
+                    for c, a, b in runs(cell):
+                        if c == own:
+                            continue
+                        at = row[a:b]
+                        out.append((c, k[at].tobytes(), best[at].tobytes(), x[at].tobytes()))
+                        size += x[at].nbytes
+                        if size > OPENED:
+                            yield blocks(out)
+                            out, size = [], 0
+        if out:
+            yield blocks(out)
+
+    opened = stage(seen.select("cell", "k", "m", "best").mapInArrow(
+        open_cells, "cell int, k binary, best binary, m binary"))
 
     def next_visit(near: pa.Table, members: pa.Table) -> pa.Table:
         ks, bests = [], []
@@ -179,7 +200,7 @@ def _nearest_by_cells(
             bests.append(now.tobytes())
         return pa.table({"k": pa.array(ks, pa.binary()), "best": pa.array(bests, pa.binary())})
 
-    later = _meet(seen.where("cell >= 0"), right_blocks, next_visit, "k binary, best binary")
+    later = _meet(opened, right_blocks, next_visit, "k binary, best binary")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +209,7 @@ def _nearest_by_cells(
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(best)], names=["k", name])
 
     best = (
-        seen.where("cell < 0").select("k", "best").unionByName(later)
+        seen.select("k", "best").unionByName(later)
         .mapInArrow(spread, f"k long, `{name}` double")
         .groupBy("k").agg(F.min(col(name)).alias(name)).withColumnRenamed("k", number)
     )

@@ -1,11 +1,14 @@
 """Cells, exact nearest distances and k-means over them."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from flowkit.operators import compress, kmeans, nearest
 from flowkit.operators.cells import CellIndex, CellTree, improve, nearest_centre, squared
+from flowkit.staging import stage
 
 
 def flow_like(n, seed, width=62, modes=60):
@@ -135,3 +138,32 @@ def test_farthest_first_fills_up_with_repeated_rows(spark):
     assert core.count() == 8 and core.select("features").distinct().count() == 3
     none = compress.coreset(rows, rows.where("id < 0"), 4, ["id"], algo="farthest")
     assert none.count() == 4 and none.where("pinned").count() == 0
+
+
+def test_rows_that_no_cell_is_ruled_out_for_need_little_memory():
+    rng = np.random.default_rng(3)
+    members, rows = rng.normal(size=(40_000, 16)), rng.normal(size=(12_000, 16))
+    index = CellIndex(members)
+    tracemalloc.start()
+    try:
+        got = index.nearest(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(got[:5], np.sqrt(((rows[:5, None] - members) ** 2).sum(2)).min(1))
+    assert peak < 80 << 20
+
+
+def test_blocks_for_open_cells_leave_in_small_batches(spark, monkeypatch):
+    """Every left row has to visit most cells, and a batch holds one block."""
+    monkeypatch.setattr(nearest, "OPENED", 1)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 20)
+    staged = []
+    monkeypatch.setattr(nearest, "stage", lambda df: staged.append(stage(df)) or staged[-1])
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(60, 12)), rng.normal(size=(300, 12))
+    left, right = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>") for x in (a, b))
+    got = nearest.nearest_distance(left, right, ["id"], broadcast_values=500).orderBy("id").toPandas()
+    assert np.allclose(got["dist"], np.sqrt(((a[:, None] - b) ** 2).sum(2)).min(1))
+    first = next(s for s in staged if s.columns == ["cell", "k", "m", "best"])  # no row for any further cell
+    assert first.selectExpr("sum(octet_length(k)) / 8").first()[0] == 60
