@@ -8,12 +8,13 @@ share such a shingle are candidates. They stay rows (key, row), sorted and strea
 is gathered, and a key that is frequent in a sample of the texts is spread over several tasks.
 
 First the fingerprints of op4, over the same shingles, are linked by its trie, and every text meets the
-one text it shares most leading keys with. Then rounds follow: in every key, a text names the most similar
+one text it shares most leading keys with. Keys with equal lists of texts count once. Then rounds follow: in every key, a text names the most similar
 one of another group, by parity sketches (one bit per bucket of hashes, odd or even). Sketches differ in at
 most as many bits as the sets differ in elements, so a pair that they reject cannot be similar. What is
 named is computed from whole texts, sent once per chunk of partners, in a stream, and joins groups. A round
 names at most one partner per text and key, so a large group of copies never forms all its pairs. After the
-last round all pairs that sketches leave between groups are computed; no filter loses a pair.
+last round all pairs that sketches leave between groups are computed; no filter loses a pair. A key in which
+the filters leave no pair is read in one round only.
 
 Null text counts as empty; texts without words are copies of each other. Fewer than five words form
 one shingle. Equal rows are copies. Texts of any length are read whole; a sketch has about one bit
@@ -121,7 +122,7 @@ def _counts(profiles: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, shared) -> DataFrame:
-    """(key, row, place): the first shingles of each set in the common order; place is n << 32 | position."""
+    """(row, n, keys): the first shingles of each set in the common order, one row a text."""
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,25 +130,31 @@ def _prefixes(texts: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, SLICE):
                 part = batch.slice(a, SLICE)
-                keys, places = [], []
+                sizes, keys = [], []
                 for t in part.column(1):
                     h = shingle_set(t.as_py())
                     length = len(h) - (p * len(h) + q - 1) // q + 1 if len(h) else 0
+                    sizes.append(len(h))
                     keys.append(h[np.lexsort((h, counts[h & (COUNTERS - 1)]))[:length]])
-                    places.append((len(h) << 32) + np.arange(length))
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(keys)),
-                     pa.array(np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])),
-                     pa.array(np.concatenate(places).astype(np.int64))], ["key", "row", "place"])
+                    [part.column(0), pa.array(sizes, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["row", "n", "keys"])
 
-    return texts.select("row", "text").mapInArrow(tidy(run), "key long, row long, place long")
+    return texts.select("row", "text").mapInArrow(tidy(run), "row long, n long, keys array<long>")
+
+
+def _placed_keys(prefixes: DataFrame) -> DataFrame:
+    """(key, row, place) of prefixes; place is n << 32 | position."""
+    return prefixes.select("row", "n", F.posexplode("keys").alias("position", "key")).select(
+        "key", "row", (F.shiftleft("n", 32) + F.col("position")).alias("place"))
 
 
 def _frequent_keys(texts: DataFrame, n_texts: int, shared) -> DataFrame:
     """(hot, tasks): keys that a sample of the texts lets expect in more than KEY_ROWS texts."""
     kept = max(1, n_texts // KEY_SAMPLE)
     share = F.pmod(F.xxhash64("row", F.lit("keys")), F.lit(kept)) == 0
-    seen = _prefixes(texts.where(share), shared).groupBy("key").count()
+    seen = _placed_keys(_prefixes(texts.where(share), shared)).groupBy("key").count()
     tasks = F.ceil(F.col("count") * kept / F.lit(KEY_ROWS)).cast("int")
     return seen.where((F.col("count") > 8) & (F.col("count") * kept > KEY_ROWS)).select(
         F.col("key").alias("hot"), tasks.alias("tasks"))
@@ -197,6 +204,18 @@ def _shared_keys(prefixes: DataFrame) -> DataFrame:
         tidy(run), "key long, row long, place long, lead long")
 
 
+def _distinct_lists(members: DataFrame) -> DataFrame:
+    """The members of one key for each list of rows that several keys have in common.
+
+    Equal lists hold the same pairs. Lists are told apart by their length and 128 bits of hashes.
+    """
+    lists = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit("lists"))).alias("b"))
+    keys = lists.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return members.join(keys, "key", "left_semi")
+
+
 def _possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (u, v) that sizes and sketches do not rule out."""
     p, q = SIMILAR
@@ -254,9 +273,12 @@ def _leading(members: DataFrame) -> DataFrame:
     return best.select((-F.col("b.before")).alias("u"), F.col("row").alias("v"))
 
 
-def _fingerprint_links(texts: DataFrame) -> DataFrame:
-    """(u, v): texts with equal fingerprints, or such that op4's trie connects, as a forest."""
-    rows = stage(simhash.fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), SHINGLE))
+def _fingerprint_links(texts: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(u, v): texts with equal fingerprints, or such that op4's trie connects, as a forest; rows of `copies` stay out."""
+    rows = simhash.fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), SHINGLE)
+    if copies is not None:
+        rows = rows.join(copies.select(F.col("row").alias("doc_id")), "doc_id", "left_anti")
+    rows = stage(rows)
     first = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     twins = rows.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
     links = simhash.links_forest(first.select("fp"))
@@ -301,21 +323,22 @@ def _meetings(group: np.ndarray, block: np.ndarray, same: np.ndarray) -> Iterato
 
 
 def _block_pairs(members: DataFrame, profiles: DataFrame, every_pair: bool) -> DataFrame:
-    """Pairs (u, v), u < v, of one key and different roots that sizes, places and sketches allow.
+    """(key, u, v): pairs u < v of one key and different roots that sizes, places and sketches allow.
 
     `members` has key, row, place, root. A key with many rows is cut into blocks, and pairs of blocks
     meet. A shingle at places i and j leaves at most 1 + min(n - i - 1, m - j - 1) common ones from
     there on, and min(i, j) before. Unless `every_pair` is asked for, a text names only the one that
-    its sketch is nearest to.
+    its sketch is nearest to. With `every_pair` a pair has one row, with any of its keys. A key without a
+    row has no pair left, and none when more roots have become equal.
     """
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (batch.slice(at, UNPACKED) for batch in batches for at in range(0, batch.num_rows, UNPACKED)):
-            x = part.column(2).flatten()
-            group = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+            x, key = part.column(3).flatten(), part.column(0).to_numpy()
+            group = np.repeat(np.arange(part.num_rows), part.column(3).value_lengths().to_numpy())
             row, place, root, block = (x.field(k).to_numpy() for k in range(4))
-            sketches, same = x.field(4), part.column(0).to_numpy() == part.column(1).to_numpy()
+            sketches, same = x.field(4), part.column(1).to_numpy() == part.column(2).to_numpy()
             n, place = place >> 32, place & 0xFFFFFFFF
             for a, b in _meetings(group, block, same):
                 ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
@@ -334,7 +357,8 @@ def _block_pairs(members: DataFrame, profiles: DataFrame, every_pair: bool) -> D
                     a, b = a[order], b[order]
                 if len(a):
                     yield pa.record_batch(
-                        [pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], ["u", "v"])
+                        [pa.array(key[group[a]]), pa.array(np.minimum(row[a], row[b])),
+                         pa.array(np.maximum(row[a], row[b]))], ["key", "u", "v"])
 
     open_ = stage(members.groupBy("key").agg(
         F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"),
@@ -345,8 +369,8 @@ def _block_pairs(members: DataFrame, profiles: DataFrame, every_pair: bool) -> D
     met = placed.withColumn("other", other).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.struct("row", "place", "root", "block", "sketch").alias("x"))
-    return met.groupBy("key", "i", "j").agg(F.collect_list("x").alias("x")).select("i", "j", "x").mapInArrow(
-        tidy(run), "u long, v long").distinct()
+    return met.groupBy("key", "i", "j").agg(F.collect_list("x").alias("x")).select("key", "i", "j", "x").mapInArrow(
+        tidy(run), "key long, u long, v long").dropDuplicates(["u", "v"] if every_pair else ["key", "u", "v"])
 
 
 def near_copy_roots(texts: DataFrame) -> DataFrame:
@@ -355,20 +379,24 @@ def near_copy_roots(texts: DataFrame) -> DataFrame:
     every = both.where("row is not null").select("row", "digest", "n", "sketch")
     shared = texts.sparkSession.sparkContext.broadcast(_counts(both))
     reps = stage(every.groupBy("digest").agg(F.min("row").alias("rep")))
-    own = texts.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "text")
-    hot, _ = bounded(_frequent_keys(own, reps.count(), shared))
+    # Joins that leave copies out take fingerprints and prefixes, not texts.
+    copies = stage(every.select("row", "digest").join(reps, "digest").where("row <> rep").select("row"))
+    hot, _ = bounded(_frequent_keys(texts.join(copies, "row", "left_anti"), reps.count(), shared))
     salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("tasks")), F.lit(-1)).cast("long")
-    prefixes = _prefixes(own, shared)
+    prefixes = _placed_keys(_prefixes(texts, shared).join(copies, "row", "left_anti"))
     members = stage(_shared_keys(
         prefixes.join(hot, F.col("key") == F.col("hot"), "left").withColumn("salt", salt)))
-    tried = stage(_fingerprint_links(own).union(_leading(members)).distinct())
+    tried = stage(_fingerprint_links(texts, copies).union(_leading(members)).distinct())
     edges = stage(_verified(_possible(tried, every), texts))
+    members = stage(_distinct_lists(members))
     left = ROUNDS
     while left >= 0:
         roots = stage(components(edges))
         grouped = stage(members.select("key", "row", "place").join(
             roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")))
-        named = stage(_block_pairs(grouped, every, left == 0).join(tried, ["u", "v"], "left_anti"))
+        met = stage(_block_pairs(grouped, every, left == 0))
+        members = members.join(met.select("key"), "key", "left_semi")
+        named = stage(met.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
         if named.isEmpty():  # nothing new: all pairs come next, unless this were all
             left = min(left, 1)
         else:

@@ -149,3 +149,29 @@ def test_sketches_of_many_pairs_are_compared_in_small_parts():
         tracemalloc.stop()
     assert got[:50].tolist() == [near_copies.sketch_distance(sketches[i], sketches[j]) for i, j in zip(a[:50], b[:50])]
     assert peak < 12 << 20
+
+
+def test_later_rounds_read_only_keys_that_still_have_pairs(spark, monkeypatch):
+    """Equal lists of rows count once, and a key whose pairs the filters all rule out is read in one round only."""
+    rng = random.Random(9)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(120)]
+        texts += [" ".join([*base, *(f"e{rng.random()}" for _ in range(120))]) for _ in range(3)]
+    texts += [" ".join([*texts[0].split()[:-2], f"e{rng.random()}"]) for _ in range(3)]
+    read, lists = [], []
+    block_pairs, distinct_lists = near_copies._block_pairs, near_copies._distinct_lists
+    monkeypatch.setattr(near_copies, "_block_pairs", lambda m, p, e: read.append(m.count()) or block_pairs(m, p, e))
+    monkeypatch.setattr(near_copies, "_distinct_lists", lambda m: lists.append(m.count()) or distinct_lists(m))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2)
+    got = {r.row: r.root for r in near_copies.near_copy_roots(rows).collect()}
+    want = brute_roots(texts).tolist()
+    assert len(set(want)) < len(texts)
+    assert len(set(got.values())) == len(set(want)) == len(set(zip(got.values(), (want[k] for k in got))))
+    assert len(read) > 1 and 0 < 2 * read[0] < lists[0] and 2 * max(read[1:]) < read[0]
+
+
+def test_distinct_lists_keep_one_key_of_equal_ones(spark):
+    rows = [(1, 5), (1, 6), (2, 6), (2, 5), (3, 5), (3, 6), (3, 7), (4, 6), (4, 7)]
+    members = spark.createDataFrame(rows, "key long, row long").repartition(3)
+    assert sorted({r.key for r in near_copies._distinct_lists(members).collect()}) == [1, 3, 4]
